@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -9,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, byte_bpe, exact_dedup, ngram_join, pii, quality, substring_dedup, topk_search
+from . import best_fit_packing, byte_bpe, exact_dedup, ngram_join, pii, quality, sharding, substring_dedup, suffix_dedup, topk_search
+from .runtime import shared_dir
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source delivers its documents to one of 16 feeds; every feed is an arrival."""
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/tidewright/store-{uuid.uuid4().hex}")
+    store.append(_docs(spark, sf_dir).withColumn("arrival", F.pmod(F.xxhash64("source"), F.lit(16))), by="arrival")
+    store.compact()
+    return store.placed("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(_docs(spark, sf_dir), size=50)
+    return found.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,7 +66,7 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_exact_dedup, op3_substring_dedup, op4_topk_search, op5_ngram_jaccard_join, op6_byte_bpe, op9_quality_classifier, op10_pii_sanitisation)
+    for f in (op1_best_fit_packing, op2_exact_dedup, op3_substring_dedup, op4_topk_search, op5_ngram_jaccard_join, op6_byte_bpe, op7_sharding, op8_suffix_array_dedup, op9_quality_classifier, op10_pii_sanitisation)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -54,7 +54,8 @@ def _rows(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBa
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), *[(x, pa.binary()) for x in "abcd"]])
 
 
-def _level(batches, size: int, before: int | None, last: bool, buckets: int):
+def _level(batches, size: int, before: int | None, last: bool, buckets: int, select=None):
+    """One level's rows of a partition. `select` (windows, which lie in one text) may retain some windows only."""
     for chunk in chunks(batches, "text"):
         w = Words(column(chunk, "text"))
         first = w.first
@@ -68,6 +69,8 @@ def _level(batches, size: int, before: int | None, last: bool, buckets: int):
                     n = first[d + 1] - first[d]
                     known[first[d] : first[d + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=n).view(bool)
             on &= known[: len(win)] & known[size - before :][: len(win)]
+        if select is not None:
+            on &= select(win, on)
         at = np.flatnonzero(on)
         if not len(at):
             continue
