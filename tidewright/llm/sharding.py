@@ -134,7 +134,7 @@ class ShardStore:
         schema = StructType.fromJson(json.loads(manifest["schema"]))
         if not runs:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self.root).parquet(*[f"{self.root}/{r['path']}" for r in runs]).select(*[F.col(f"`{c}`") for c in schema.names])
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{r['path']}" for r in runs]).select(*[F.col(f"`{c}`") for c in schema.names])
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -146,5 +146,5 @@ class ShardStore:
         from pyspark.sql.types import StructType
 
         schema = StructType.fromJson(json.loads(m["schema"]))
-        rows = self.spark.read.schema(schema).option("basePath", self.root).parquet(*[f"{self.root}/{r['path']}" for r in m["runs"]])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{r['path']}" for r in m["runs"]])
         return rows.select(*columns, F.element_at(F.split("_metadata.file_path", "/runs/"), -1).alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(m["version"]).cast("long").alias("version"))
