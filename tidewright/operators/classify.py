@@ -123,7 +123,7 @@ def svm(x: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> Dat
     cells = x.join(F.broadcast(chosen), "id").select("id", "label", "f", "v")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, rows = np.unique(frame["id"], return_inverse=True)
+        ids, rows = np.unique(frame["id"].to_numpy(), return_inverse=True)
         m = np.zeros((len(ids), len(features)))
         m[rows, frame["f"].map(at)] = frame["v"]
         y = np.zeros(len(ids), int)
@@ -132,7 +132,7 @@ def svm(x: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> Dat
         c, f = np.nonzero(w)
         return pd.DataFrame({"c": c, "j": f, "w": w[c, f]})
 
-    weights = cells.groupBy(F.lit(0)).applyInPandas(solve, "c int, j int, w double")
+    weights = cells.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(solve, "c int, j int, w double")
     kind = x.schema["f"].dataType.simpleString()
     named = weights.join(F.broadcast(spark.createDataFrame(list(enumerate(features)), f"j int, f {kind}")), "j").join(F.broadcast(spark.createDataFrame(list(enumerate(names)), "c int, label string")), "c")
     scores = x.join(named.select("f", "label", "w"), "f").groupBy("id", "label").agg(F.sum(F.col("v") * F.col("w")).alias("score"))

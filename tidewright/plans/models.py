@@ -103,12 +103,12 @@ def tfidf_diff(spark: SparkSession, sf: str, genre: str = GENRE, other: str = OT
 
 
 def _counts(bed: Bed, genre: str, other: str, r_of: str, by_first: bool) -> DataFrame:
-    """tagid, r, R, m, M: movies of the genre `r_of`, and of either genre, with the tag and in all."""
+    """tagid, r, all_r, m, all_m: movies of the genre `r_of`, and of either genre, with the tag and in all."""
     tags = bed.movie_tags().select("movieid", "tagid").distinct()
     kinds = bed.movies().select("movieid", r.genre_is(genre).alias("g1"), r.genre_is_any(genre, other).alias("either"), r.genre_is(r_of).alias("r_of")).filter("either")
     one = lambda c: F.sum(F.col(c).cast("long"))
     per = tags.join(kinds, "movieid").groupBy("tagid").agg(one("r_of").alias("r"), F.count("*").alias("m"), one("g1").alias("first"))
-    total = kinds.agg(one("r_of").alias("R"), F.count("*").alias("M"))
+    total = kinds.agg(one("r_of").alias("all_r"), F.count("*").alias("all_m"))
     return (per.filter("first > 0") if by_first else per).crossJoin(F.broadcast(total))
 
 
@@ -118,12 +118,12 @@ def _c(name: str) -> Column:
 
 def p_diff1(spark: SparkSession, sf: str, genre: str = GENRE, other: str = OTHER) -> DataFrame:
     found = _counts(Bed(spark, sf), genre, other, genre, True)
-    return found.withColumn("weight", w.p_diff1(_c("r"), _c("R"), _c("m"), _c("M"))).select("tagid", out("weight"))
+    return found.withColumn("weight", w.p_diff1(_c("r"), _c("all_r"), _c("m"), _c("all_m"))).select("tagid", out("weight"))
 
 
 def p_diff2(spark: SparkSession, sf: str, genre: str = GENRE, other: str = OTHER) -> DataFrame:
     found = _counts(Bed(spark, sf), genre, other, other, True)
-    return found.withColumn("weight", w.p_diff2(_c("r"), _c("R"), _c("m"), _c("M"))).select("tagid", out("weight"))
+    return found.withColumn("weight", w.p_diff2(_c("r"), _c("all_r"), _c("m"), _c("all_m"))).select("tagid", out("weight"))
 
 
 def p_diff1_overlapping(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +151,7 @@ _XYP = "xy AS (SELECT tagid, (r + m / bm) / (br + 1) AS x, (m - r + m / bm) / (b
 
 def p_diff_product(spark: SparkSession, sf: str, genre: str = GENRE, other: str = OTHER) -> DataFrame:
     found = _counts(Bed(spark, sf), genre, other, genre, False)
-    return found.withColumn("weight", w.p_diff_product(_c("r"), _c("R"), _c("m"), _c("M"))).select("tagid", out("weight"))
+    return found.withColumn("weight", w.p_diff_product(_c("r"), _c("all_r"), _c("m"), _c("all_m"))).select("tagid", out("weight"))
 
 
 def p_diff2_product(spark: SparkSession, sf: str, genre: str = GENRE, other: str = OTHER) -> DataFrame:
@@ -162,9 +162,9 @@ def p_diff2_product(spark: SparkSession, sf: str, genre: str = GENRE, other: str
     several = tags.groupBy("movieid").agg(F.count("*").alias("n"))
     per = tags.join(several, "movieid").groupBy("tagid").agg(F.count("*").alias("m"), F.sum((F.col("g2") & (F.col("n") == 1)).cast("long")).alias("only"))
     tagged = F.broadcast(tags.filter("g2").agg(F.countDistinct("movieid").alias("g2_tagged")))
-    total = F.broadcast(kinds.agg(F.sum(F.col("g2").cast("long")).alias("R"), F.count("*").alias("M")))
+    total = F.broadcast(kinds.agg(F.sum(F.col("g2").cast("long")).alias("all_r"), F.count("*").alias("all_m")))
     found = per.crossJoin(tagged).crossJoin(total).withColumn("r", F.col("g2_tagged") - F.col("only"))
-    return found.withColumn("weight", w.p_diff_product(_c("r"), _c("R"), _c("m"), _c("M"))).select("tagid", out("weight"))
+    return found.withColumn("weight", w.p_diff_product(_c("r"), _c("all_r"), _c("m"), _c("all_m"))).select("tagid", out("weight"))
 
 
 _PDIFF2_PRODUCT = p.sql(

@@ -198,8 +198,8 @@ def relevance_feedback(spark: SparkSession, sf: str, relevant: tuple[int, ...] =
     marked = F.broadcast(_ids(spark, relevant, "movieid"))
     n = tags.groupBy("tagid").agg(F.countDistinct("movieid").cast("double").alias("n"))
     r = tags.join(marked, "movieid", "left_semi").groupBy("tagid").agg(F.countDistinct("movieid").cast("double").alias("r"))
-    total = F.broadcast(bed.movies().agg(F.count("*").cast("double").alias("N")))
-    weight = (w.relevance_literal if literal else w.relevance)(F.col("r"), F.lit(float(len(set(relevant)))), F.col("n"), F.col("N"))
+    total = F.broadcast(bed.movies().agg(F.count("*").cast("double").alias("all_n")))
+    weight = (w.relevance_literal if literal else w.relevance)(F.col("r"), F.lit(float(len(set(relevant)))), F.col("n"), F.col("all_n"))
     weighted = n.join(r, "tagid").crossJoin(total).select("tagid", weight.alias("weight"))
     return _best(tags.join(F.broadcast(weighted), "tagid").groupBy("movieid").agg(F.sum("weight").alias("score")), _watched(bed, user, tagged=False))
 
