@@ -105,21 +105,26 @@ def mentions(base: DataFrame) -> DataFrame:
 
 
 def _terms(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
+    return F.transform(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)), F.lower)
 
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """entity, term, disclosure: the terms whose share of an entity's information reaches the threshold."""
-    context = found.select("doc_id", "h", "entity", F.concat_ws(" ", "before", "after").alias("context"))
+    total = F.broadcast(docs.agg(F.count("*").cast("double").alias("n_docs")))  # one row
+    value = F.expr("substring(entity, instr(entity, ':') + 1)")  # a term inside the entity occurs with it
+    context = found.select("doc_id", "h", "entity", F.concat_ws(" ", "before", value, "after").alias("context"))
     entities = context.groupBy("entity").agg(F.countDistinct("h").alias("texts"), F.countDistinct("doc_id").alias("n_entity")).filter(F.col("texts") >= support)
-    pairs = context.join(entities.select("entity"), "entity", "left_semi").select("doc_id", "h", "entity", "context", F.explode(F.array_distinct(_terms("context"))).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("n_both"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support)
-    pairs = Table(pairs.join(entities.select("entity", "n_entity"), "entity"), "pairs")
+    near = Table(context.select("doc_id", "entity", "context", F.explode(F.array_distinct(_terms("context"))).alias("term")), "near")
+    at_least = near.df.groupBy("term").agg(F.countDistinct("doc_id").alias("at_least"))
+    pairs = near.df.join(entities.select("entity"), "entity", "left_semi").groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("n_both"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support)
+    # a term in more documents than this misses the threshold; those near entities alone often show it
+    most = F.col("n_both") * F.pow(F.col("n_docs") / F.col("n_entity"), F.lit(1 - generalise))
+    pairs = pairs.join(entities.select("entity", "n_entity"), "entity").join(at_least, "term").join(total).filter(F.col("at_least") <= most * 1.000001)
+    pairs = Table(pairs.drop("at_least"), "pairs")
     wanted = Table(pairs.df.select("term").distinct(), "terms")
     everywhere = docs.select(F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term"))
     n_term = everywhere.join(hinted(wanted, 4 << 20), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").cast("double").alias("n_docs"))
-    all_ = pairs.df.join(n_term, "term").join(F.broadcast(total))  # one row
+    all_ = pairs.df.join(n_term, "term")
     log = lambda n: F.log(F.col("n_docs") / F.col(n))
     pmi = F.log(F.col("n_docs") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     return all_.filter(log("n_entity") > 0).withColumn("disclosure", F.least(pmi / log("n_entity"), F.lit(1.0))).filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
@@ -128,9 +133,9 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, genera
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, h, terms: array<struct<start, end, disclosure>> of the disclosing terms in their entities' contexts."""
     side = F.explode(F.array(F.struct(F.col("left").alias("at"), F.col("before").alias("part")), F.struct(F.col("end").alias("at"), F.col("after").alias("part"))))
-    parts = found.select("doc_id", "h", "entity", side.alias("s")).select("doc_id", "h", "entity", "s.at", F.lower("s.part").alias("part"))
+    parts = found.select("doc_id", "h", "entity", side.alias("s")).select("doc_id", "h", "entity", "s.at", "s.part")
     words = parts.select("doc_id", "h", "entity", "at", F.explode(spans_of(F.col("part"), TERM, F.lit(True))).alias("w"))
-    hits = words.select("doc_id", "h", "entity", (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), F.col("w.value").alias("term")).join(terms, ["entity", "term"])
+    hits = words.select("doc_id", "h", "entity", (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), F.lower("w.value").alias("term")).join(terms, ["entity", "term"])
     hits = hits.groupBy("doc_id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     return hits.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
 
