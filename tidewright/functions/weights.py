@@ -88,9 +88,9 @@ def relevance(r: Column, big_r: Column, n: Column, big_n: Column, eps: float = 1
 
 
 def relevance_literal(r: Column, big_r: Column, n: Column, big_n: Column, eps: float = 1e-6) -> Column:
-    """The same with the precedence r + (eps / ...), as it is often written by mistake."""
+    """The same with r + (eps / ...) above, as it is easily written by mistake."""
     e = F.lit(eps)
-    return F.when(r == 0, F.lit(0.0)).otherwise(F.log10((r + e / (big_r - r + e)) / (n - r + e / (big_n - big_r - n + r + e))))
+    return F.when(r == 0, F.lit(0.0)).otherwise(F.log10((r + e / (big_r - r + e)) / ((n - r + e) / (big_n - big_r - n + r + e))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -314,7 +314,7 @@ QUERIES = {
     "q32_recommend_walk": (recommend_walk, _walk_sql()),
     "q33_combined": (combined_recommendation, p.sql(*_COMBINED, final="SELECT movieid, place, round(sd, 6) AS sd FROM pl ORDER BY movieid LIMIT 5", use=("mlratings", "movie_actor", "mltags"))),
     "q34_relevance_feedback": (relevance_feedback, p.sql(*_FEEDBACK, "g AS (SELECT tagid, log10(((r + e) / (br - r + e)) / ((n - r + e) / (bn - br - n + r + e))) AS wt FROM c)", final=_FEEDBACK_END, use=("mltags", "mlmovies", "mlratings"))),
-    "q34_relevance_feedback_literal": (lambda s, d: relevance_feedback(s, d, literal=True), p.sql(*_FEEDBACK, "g AS (SELECT tagid, log10((r + e / (br - r + e)) / (n - r + e / (bn - br - n + r + e))) AS wt FROM c)", final=_FEEDBACK_END, use=("mltags", "mlmovies", "mlratings"))),
+    "q34_relevance_feedback_literal": (lambda s, d: relevance_feedback(s, d, literal=True), p.sql(*_FEEDBACK, "g AS (SELECT tagid, log10((r + e / (br - r + e)) / ((n - r + e) / (bn - br - n + r + e))) AS wt FROM c)", final=_FEEDBACK_END, use=("mltags", "mlmovies", "mlratings"))),
     "q35_recommend_all": (recommend, None),
     "q38_lsh_nearest": (lsh_nearest, _lsh_sql(_NEAR, "SELECT query, id, round(dist, 6) AS dist FROM nr WHERE i <= 5")),
     "q38_lsh_touched": (lsh_touched, _lsh_sql([], "SELECT query, CAST(sum(layers) AS BIGINT) AS overall_candidates, count(*) AS unique_candidates FROM cd GROUP BY 1")),
