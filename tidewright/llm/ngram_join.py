@@ -7,12 +7,15 @@ tokens, so of P > T parts at least P - T are equal in both. Parts are joined by
 fewer than P - T parts, so an equal part that both send always remains and no link is lost. A set is sent in its own
 size band and in those that its partners of larger size may lie in.
 
-Equal sets are one class from the start, named by a 64-bit hash of the set. Classes that share a part form a list.
-Rounds then settle the lists: within a list, folded sketches (whose Hamming distance also bounds the difference from
-below) rule out pairs; each component proposes its closest possible partner outside; proposals are verified on the
-exact sets; verified ones merge components, refuted ones are never proposed again. It ends when nothing is proposed, so
-every pair of different components that share a part was ruled out by sketch or verified. A list is never expanded into
-its pairs as rows; long lists are cut into blocks, and each two blocks meet in one task.
+Equal sets are one class from the start, named by a 64-bit hash of the set. Classes that share a part form a list. In a
+list, folded sketches of about a bit per token (whose Hamming distance also bounds the difference from below) rule out
+pairs; the rest joins its classes to families, and only the sets of classes in families are read again. In a family,
+longer sketches rule out pairs of different components, the others are verified on the exact sets, closest first, and
+merge their components; a pair is skipped only when its two classes are in one component already, so no link between
+components is lost, and no pairs are made as rows. Lists of over `BLOCK` classes are compared in blocks, each two blocks
+in one task. Families beyond `FAMILY` classes or `TOKENS` tokens don't go to one task: their lists are settled in
+rounds, in each of which every component proposes its closest possible partners of other components, list by list,
+until nothing is proposed.
 
 Defined cases: texts are compared in lower case (A-Z); a text of fewer words than n is one token, a text without words
 (or null) has none and is linked with nothing; rows without a doc_id take no part in links; repeated doc_ids are rows of
@@ -26,7 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,8 +42,10 @@ _BAND = 1.5
 _WIDE = 1 << 16
 #: Classes of a list that are compared in one task.
 BLOCK = 1024
-_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_OUT = pa.schema([("kind", pa.int32()), ("name", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+#: Classes and tokens of a family that one task settles.
+FAMILY, TOKENS = 8192, 6_000_000
+_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_OUT = pa.schema([("kind", pa.int32()), ("name", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
 _PARTS, _DOCS, _MEMBER, _DOC = 0, 1, 0, 1
 U = np.uint64
 
@@ -126,13 +131,24 @@ def part_keys(tokens: np.ndarray, bound: Bound) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch that a set of this size gets at first."""
+    return max(256, 1 << (max(int(size), 1) - 1).bit_length())
+
+
+def sketch(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The parity sketch: each token flips one bit."""
+    odd = np.bincount((seeded(tokens, 31) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def _dealt(batches, n: int, bound: Bound, buckets: int):
-    for chunk in chunks(batches, "text", 12 << 20):
+    for chunk in chunks(batches, "text", 8 << 20):
         first, tokens = sets(column(chunk, "text"), n)
         ids = column(chunk, "doc_id").to_pylist()
         names = [set_name(tokens[first[d] : first[d + 1]]) if first[d] < first[d + 1] else None for d in range(len(ids))]
         size = np.diff(first)
-        rows = [(abs(names[0] or 0) % buckets, _DOCS, np.array(ids, "<i8").tobytes(), size.astype("<i8").tobytes(), np.array([x or 0 for x in names], "<i8").tobytes())]
+        rows = [(abs(names[0] or 0) % buckets, _DOCS, np.array(ids, "<i8").tobytes(), size.astype("<i8").tobytes(), np.array([x or 0 for x in names], "<i8").tobytes(), b"".join(sketch(tokens[first[d] : first[d + 1]], sketch_bits(size[d])).tobytes() for d in range(len(ids)) if size[d]))]
         seen: dict[int, int] = {}
         for d, x in enumerate(names):
             if x is not None:
@@ -148,21 +164,23 @@ def _dealt(batches, n: int, bound: Bound, buckets: int):
             for b in np.flatnonzero(np.diff(edges)):
                 own = split[edges[b] : edges[b + 1]]
                 there, place = np.unique(who[own], return_inverse=True)
-                rows.append((int(b), _PARTS, key[own].astype("<u8").tobytes(), deltas(place), node[there].astype("<i8").tobytes()))
+                rows.append((int(b), _PARTS, key[own].astype("<u8").tobytes(), deltas(place), node[there].astype("<i8").tobytes(), None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SENT.types, strict=True)], schema=_SENT)
 
 
 def _listed(table: pa.Table) -> pa.Table:
     """Passes documents on; of each different set of classes that share a key, one row per member."""
-    kind, name, n, node = [], [], [], []
+    kind, name, n, node, sketches = [], [], [], [], []
     key, who = [], []
-    for k, a, b, c in zip(*(table.column(x).to_pylist() for x in ("kind", "a", "b", "c")), strict=True):
+    for k, a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d")), strict=True):
         if k == _DOCS:
             ids = np.frombuffer(a, "<i8")
             kind.append(np.full(len(ids), _DOC))
             name.append(ids)
             n.append(np.frombuffer(b, "<i8"))
             node.append(np.frombuffer(c, "<i8"))
+            ends = np.cumsum([sketch_bits(int(x)) // 8 if x else 0 for x in n[-1]]).tolist()
+            sketches += [d[i:j] or None for i, j in zip([0, *ends], ends, strict=False)]
         else:
             key.append(np.frombuffer(a, "<u8"))
             who.append(np.frombuffer(c, "<i8")[undeltas(b)])
@@ -183,62 +201,118 @@ def _listed(table: pa.Table) -> pa.Table:
         name.append(np.repeat(label[one].view(np.int64), many[one]))
         n.append(np.repeat(many[one], many[one]))
         node.append(who[at])
-    cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (kind, name, n, node)]
+        sketches += [None] * len(at)
+    cols = [*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (kind, name, n, node)), sketches]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _OUT.types, strict=True)], schema=_OUT)
 
 
-def _sketch(tokens: np.ndarray) -> bytes:
-    """A parity sketch of at least two bits per token."""
-    bits = max(256, 1 << (2 * len(tokens) - 1).bit_length())
-    odd = np.bincount((seeded(tokens, 31) % U(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def _folded(sketches: list[bytes]) -> np.ndarray:
-    """All sketches at the shortest one's length; a longer one's halves are added without carry."""
-    least = min(map(len, sketches))
-    return np.array([np.bitwise_xor.reduce(np.frombuffer(s, "<u8").reshape(-1, least // 8), axis=0) for s in sketches])
+def _sketches(sets_: list[np.ndarray], limit: int = 64 << 20) -> np.ndarray:
+    """Sketches of one length, if possible two bits for each token of the largest set; one row per set."""
+    bits = 2 * sketch_bits(max(map(len, sets_)))
+    while bits > 256 and bits // 8 * len(sets_) > limit:
+        bits //= 2
+    return np.array([sketch(t, bits) for t in sets_])
+
+
+def _possible(bound: Bound, s: np.ndarray, n: np.ndarray, rows: slice, cols: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(whether sizes and sketches allow a link, sketch distance) of pairs."""
+    a, b = n[rows][:, None], n[cols][None, :]
+    dist = np.zeros((a.shape[0], b.shape[1]), np.int64)
+    for word in range(s.shape[1]):
+        dist += np.bitwise_count(s[rows, word][:, None] ^ s[cols, word][None, :])
+    return (dist <= bound.difference(a + b)) & (bound.num * a <= bound.den * b) & (bound.num * b <= bound.den * a), dist
+
+
+def _families(table: pa.Table, bound: Bound) -> pa.Table:
+    """u, v: joins the classes of two blocks of a list (or of one) that sizes and sketches allow to be linked."""
+    n = table.column("size").to_numpy()
+    by = np.argsort(n, kind="stable")
+    n, node = n[by], table.column("node").to_numpy()[by]
+    raw = table.column("sketch").to_pylist()
+    raw = [np.frombuffer(raw[i], "<u8") for i in by]
+    words = np.array([len(x) for x in raw])
+    folded: dict[int, tuple[int, np.ndarray]] = {}
+    comp = np.arange(len(n))
+    for i in range(0, len(n), 64):
+        low = int(np.searchsorted(n, -(-n[i] * bound.num // bound.den)))
+        size = int(words[low])
+        if size not in folded:
+            start = int(np.searchsorted(words, size))
+            folded[size] = start, np.array([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in raw[start:]])
+        start, s = folded[size]
+        may, _ = _possible(bound, s, n[start:], slice(i - start, i - start + 64), slice(low - start, i - start + 64))
+        for r in range(i, min(i + 64, len(n))):
+            found = np.unique(comp[low:r][may[r - i, : r - low]])
+            if len(found) and (len(found) > 1 or found[0] != comp[r]):
+                comp[np.isin(comp, np.append(found, comp[r]))] = min(found[0], comp[r])
+    moved = comp != np.arange(len(n))
+    return pa.table({"u": node[moved], "v": node[comp[moved]]})
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _settled(table: pa.Table, bound: Bound) -> pa.Table:
+    """node, comp of a family's classes."""
+    node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+    raw = table.column("tokens").to_pylist()
+    tokens = [np.frombuffer(raw[i], "<u8") for i in first]
+    by = np.argsort([len(t) for t in tokens], kind="stable")
+    node, tokens = node[by], [tokens[i] for i in by]
+    n, s, comp = np.array([len(t) for t in tokens]), _sketches(tokens), np.arange(len(node))
+    step = 64
+    for i in range(0, len(node), step):
+        low = int(np.searchsorted(n, -(-n[i] * bound.num // bound.den)))
+        may, dist = _possible(bound, s, n, slice(i, i + step), slice(low, i + step))
+        for r in range(i, min(i + step, len(node))):
+            others = np.flatnonzero(may[r - i, : r - low]) + low
+            others = others[np.argsort(dist[r - i, others - low], kind="stable")]
+            while len(others := others[comp[others] != comp[r]]):
+                j, others = others[0], others[1:]
+                if bound.linked(_common(tokens[r], tokens[j]), n[r], n[j]):
+                    comp[comp == comp[r]] = comp[j]
+    return pa.table({"node": node, "comp": node[comp]})
 
 
 def _wanted(batches, n: int):
-    """node, n, sketch, tokens of documents that stand for their class."""
+    """family, node, n, tokens of documents that stand for their class."""
     for chunk in chunks(batches, "text"):
         first, tokens = sets(column(chunk, "text"), n)
         rows = []
-        for d, node in enumerate(column(chunk, "node").to_pylist()):
+        for d, (family, node) in enumerate(zip(column(chunk, "family").to_pylist(), column(chunk, "node").to_pylist(), strict=True)):
             t = tokens[first[d] : first[d + 1]]
             if len(t) and set_name(t) == node:
-                rows.append((node, len(t), _sketch(t), t.astype("<u8").tobytes()))
+                rows.append((family, node, len(t), t.astype("<u8").tobytes()))
         cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "n", "sketch", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["family", "node", "n", "tokens"])
 
 
-_BEST = pa.schema([("comp", pa.int64()), ("dist", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_BEST = pa.schema([("list", pa.int64()), ("comp", pa.int64()), ("dist", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _proposals(table: pa.Table, bound: Bound) -> pa.Table:
-    """For each class the closest possible partner of another component, if any."""
-    node, comp, n, block = (table.column(x).to_numpy() for x in ("node", "comp", "n", "block"))
-    s = _folded(table.column("sketch").to_pylist())
+    """For each class of two blocks of a list the closest possible partner of another component, if any."""
+    node, comp, block = (table.column(x).to_numpy() for x in ("node", "comp", "block"))
+    tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
     refuted = [set(x or ()) for x in table.column("refuted").to_pylist()]
+    n, s = np.array([len(t) for t in tokens]), _sketches(tokens)
     across = block.min() != block.max()
     rows = []
-    step = max(1, (8 << 20) // max(1, s.nbytes))
-    for i in range(0, len(node), step):
-        me = slice(i, i + step)
-        dist = np.bitwise_count(s[me][:, None, :] ^ s[None, :, :]).sum(2, dtype=np.int64)
-        may = (comp[me][:, None] != comp[None, :]) & (dist <= bound.difference(n[me][:, None] + n[None, :]))
-        may &= (bound.num * n[me][:, None] <= bound.den * n[None, :]) & (bound.num * n[None, :] <= bound.den * n[me][:, None])
+    for i in range(0, len(node), 64):
+        may, dist = _possible(bound, s, n, slice(i, i + 64), slice(0, len(node)))
+        may &= comp[i : i + 64][:, None] != comp[None, :]
         if across:
-            may &= block[me][:, None] != block[None, :]
+            may &= block[i : i + 64][:, None] != block[None, :]
         for r in np.flatnonzero(may.any(1)):
             others = np.flatnonzero(may[r])
             order = others[np.lexsort((node[others], dist[r, others]))]
             j = next((x for x in order if int(node[x]) not in refuted[i + r]), None)
             if j is not None:
                 a, b = int(node[i + r]), int(node[j])
-                rows.append((int(comp[i + r]), int(dist[r, j]), min(a, b), max(a, b)))
-    cols = list(zip(*rows, strict=True)) or [()] * 4
+                rows.append((table.column("list")[0].as_py(), int(comp[i + r]), int(dist[r, j]), min(a, b), max(a, b)))
+    cols = list(zip(*rows, strict=True)) or [()] * 5
     return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_BEST)
 
 
@@ -247,63 +321,86 @@ def _verified(batches, bound: Bound):
         rows = []
         for a, b, x, y in zip(*(column(batch, c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
             x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            rows.append((a, b, bool(bound.linked(common, len(x), len(y)))))
+            rows.append((a, b, bool(bound.linked(_common(x, y), len(x), len(y)))))
         cols = list(zip(*rows, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "linked"])
 
 
-def components(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    spark = docs.sparkSession
-    bound = Bound(similarity.numerator, similarity.denominator)
-    buckets = bucket_count(docs) // 2
-    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = known.mapInArrow(fixed(_dealt, n, bound, buckets), "bucket int, kind int, a binary, b binary, c binary")
-    listed = Table(sent.groupBy("bucket").applyInArrow(_listed, "kind int, name long, n long, node long"), "listed")
-    rows = listed.df.filter(F.col("kind") == _DOC).select(F.col("name").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
-    lists = Table(listed.df.filter(F.col("kind") == _MEMBER).select(F.col("name").alias("list"), "n", "node").distinct(), "lists")
-    standing = rows.filter("n_shingles > 0").join(hinted(Table(lists.df.select("node").distinct(), "candidates"), 8 << 20), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
-    standing = Table(standing, "standing")
-    text = known.join(hinted(standing, 8 << 20), F.col("doc_id") == F.col("_id")).select("node", "text")
-    held = Table(text.mapInArrow(fixed(_wanted, n), "node long, n long, sketch binary, tokens binary").dropDuplicates(["node"]), "sets")
-    state = Table(held.df.select("node", F.col("node").alias("comp")), "state")
-    refused: Table | None = None
+def _blocked(lists: DataFrame, block: int) -> DataFrame:
+    """list, node with the number of the list's blocks (`per`) and the node's block."""
+    per = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+    return lists.select("list", "node", per.alias("per")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("per")).cast("int"))
+
+
+def _meets() -> Column:
+    """The pairs of blocks that a node of `block` is in."""
+    return F.transform(F.sequence(F.lit(0), F.col("per") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
 
-    per = F.greatest(F.ceil(F.col("list_n") / block), F.lit(1)).cast("int")
-    placed = lists.df.select("list", F.col("n").alias("list_n"), "node").withColumn("per", per).withColumn("block", F.pmod(F.xxhash64("node"), F.col("per")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("per") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-    turn = 0
+
+def _in_rounds(lists: DataFrame, held: DataFrame, bound: Bound) -> DataFrame:
+    """node, comp of families too large for one task. lists: list, node, per, block; held: node, n, tokens."""
+    state = Table(held.select("node", F.col("node").alias("comp")), "state")
+    refused: Table | None = None
+    placed = Table(lists, "placed")
+    live = placed.df
+    first = True
     while True:
-        live = placed.join(state.df, "node")
-        mixed = live.groupBy("list").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("list")
-        live = live.join(mixed, "list", "left_semi").select("list", "node", "comp", "block", F.explode(meets).alias("m"))
-        shown = held.df.select("node", "n", "sketch")
+        shown = live.join(state.df, "node").select("list", "node", "comp", "block", F.explode(_meets()).alias("m"))
+        sets_ = held.select("node", "tokens")
         if refused is not None:
             each = refused.df.select(F.col("a").alias("node"), "b").unionByName(refused.df.select(F.col("b").alias("node"), F.col("a").alias("b")))
-            shown = shown.join(each.groupBy("node").agg(F.collect_set("b").alias("refuted")), "node", "left")
+            sets_ = sets_.join(each.groupBy("node").agg(F.collect_set("b").alias("refuted")), "node", "left")
         else:
-            shown = shown.withColumn("refuted", F.array().cast("array<bigint>"))
-        live = live.join(shown, "node")
-        best = live.groupBy("list", "m").applyInArrow(fixed(_proposals, bound), "comp long, dist long, a long, b long").distinct()
+            sets_ = sets_.withColumn("refuted", F.array().cast("array<bigint>"))
+        best = Table(shown.join(sets_, "node").groupBy("list", "m").applyInArrow(fixed(_proposals, bound), "list long, comp long, dist long, a long, b long"), "best")
         nth = F.row_number().over(Window.partitionBy("comp").orderBy("dist", "a", "b"))
-        pairs = best.withColumn("nth", nth).filter(F.col("nth") <= (1 if turn == 0 else 4)).select("a", "b").distinct()
-        tokens = held.df.select(F.col("node").alias("a"), F.col("tokens").alias("x")), held.df.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        checked = Table(pairs.join(tokens[0], "a").join(tokens[1], "b").mapInArrow(fixed(_verified, bound), "a long, b long, linked boolean"), "checked")
+        pairs = best.df.select("comp", "dist", "a", "b").distinct().withColumn("nth", nth).filter(F.col("nth") <= (1 if first else 4)).select("a", "b").distinct()
+        x, y = held.select(F.col("node").alias("a"), F.col("tokens").alias("x")), held.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+        checked = Table(pairs.join(x, "a").join(y, "b").mapInArrow(fixed(_verified, bound), "a long, b long, linked boolean"), "checked")
         if not checked.df.limit(1).count():
-            break
-        turn += 1
+            return state.df
+        # a list that proposes nothing never will: components only merge, and refuted pairs only become more
+        live, first = placed.df.join(best.df.select("list").distinct(), "list", "left_semi"), False
         comp = state.df
         ends = checked.df.filter("linked").join(comp.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("v")), "b")
         moved = connected(ends.select("u", "v"))
-        after = comp.join(moved.df.select(F.col("u").alias("comp"), F.col("v").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        new = Table(after, "state")
+        new = Table(comp.join(moved.df.select(F.col("u").alias("comp"), F.col("v").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "state")
         no = checked.df.filter("not linked").select("a", "b")
         refused = Table(no if refused is None else refused.df.unionByName(no).distinct(), "refuted")
-        state.drop()
         state = new
-    joined = rows.filter("n_shingles > 0").join(state.df, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def components(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), block: int = BLOCK, family: int = FAMILY, tokens: int = TOKENS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    bound = Bound(similarity.numerator, similarity.denominator)
+    buckets = bucket_count(docs) // 2
+    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sent = known.mapInArrow(fixed(_dealt, n, bound, buckets), "bucket int, kind int, a binary, b binary, c binary, d binary")
+    listed = Table(sent.groupBy("bucket").applyInArrow(_listed, "kind int, name long, n long, node long, sketch binary"), "listed")
+    rows = listed.df.filter(F.col("kind") == _DOC).select(F.col("name").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
+    lists = Table(_blocked(listed.df.filter(F.col("kind") == _MEMBER).select(F.col("name").alias("list"), "n", "node").distinct(), block), "lists")
+    classes = listed.df.filter((F.col("kind") == _DOC) & (F.col("n") > 0)).join(hinted(Table(lists.df.select("node").distinct(), "in-lists"), 8 << 20), "node", "left_semi")
+    classes = Table(classes.groupBy("node").agg(F.first("n").alias("size"), F.first("sketch").alias("sketch")), "sketches")
+    pairs = lists.df.join(hinted(classes, 16 << 20), "node").select("list", F.explode(_meets()).alias("m"), "node", "size", "sketch")
+    joined = connected(pairs.groupBy("list", "m").applyInArrow(fixed(_families, bound), "u long, v long"))
+
+    named = Table(joined.df.select(F.col("u").alias("node"), F.col("v").alias("family")).unionByName(joined.df.select(F.col("v").alias("node"), F.col("v").alias("family")).distinct()), "families")
+    standing = rows.filter("n_shingles > 0").join(hinted(named, 8 << 20), "node").groupBy("node", "family").agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("size"))
+    standing = Table(standing, "standing")
+    large = Table(standing.df.groupBy("family").agg(F.count("*").alias("c"), F.sum("size").alias("t")).filter((F.col("c") > family) | (F.col("t") > tokens)).select("family"), "large")
+    any_large = large.df.limit(1).count() > 0
+    text = known.join(hinted(standing, 8 << 20), F.col("doc_id") == F.col("_id")).select("family", "node", "text")
+    held = text.mapInArrow(fixed(_wanted, n), "family long, node long, n long, tokens binary")
+    if any_large:
+        held = Table(held, "sets").df
+        big = held.join(F.broadcast(large.df), "family", "left_semi").dropDuplicates(["node"])
+        theirs = lists.df.join(named.df, "node").join(F.broadcast(large.df), "family", "left_semi").select("list", "node", "per", "block")
+        in_rounds = _in_rounds(theirs, Table(big, "large-sets").df, bound)
+        held = held.join(F.broadcast(large.df), "family", "left_anti")
+    state = held.groupBy("family").applyInArrow(fixed(_settled, bound), "node long, comp long")
+    state = Table(state if not any_large else state.unionByName(in_rounds), "state")
+
+    joined = rows.filter("n_shingles > 0").join(hinted(state, 8 << 20), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     joined = Table(joined.select("doc_id", "n_shingles", "comp"), "classes")
     least = joined.df.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).filter("members > 1").drop("members")
     linked = joined.df.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
