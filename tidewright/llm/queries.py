@@ -76,6 +76,29 @@ ORACLES: dict[str, str] = {
 WITH d AS (SELECT doc_id, sha256({_NORM}) AS text_sha256 FROM documents),
 g AS (SELECT doc_id, text_sha256, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+""",
+    "op3_substring_dedup": r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM a),
+g AS (SELECT doc_id, p, word, string_agg(word, ' ') OVER k AS k, count(*) OVER k AS n FROM w WINDOW k AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT k, min(doc_id) AS first FROM g WHERE n = 13 GROUP BY 1),
+m AS (SELECT g.doc_id, p, word, CASE WHEN n = 13 AND first < g.doc_id THEN 1 ELSE 0 END AS hit FROM g LEFT JOIN f USING (k)),
+c AS (SELECT doc_id, p, word, max(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM m),
+s AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM c GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)
+""",
+    "op5_ngram_jaccard_join": rf"""
+WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all({_NORM}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p, len(ws) AS size FROM a),
+g AS (SELECT doc_id, p, size, string_agg(word, ' ') OVER k AS k, count(*) OVER k AS n FROM w WINDOW k AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, k FROM g WHERE n = 4 OR (size < 4 AND p = 0)),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+j AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM j JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * common >= 85 * (ca.n + cb.n - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS doc_id, a AS reached FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
+m AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """,
     "op4_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
