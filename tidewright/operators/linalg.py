@@ -14,14 +14,47 @@ from .relational import top_by
 GRAM_LIMIT = 4096
 
 
-def _gram_of_features(x: DataFrame) -> tuple[list, np.ndarray]:
-    """The features and X' X, summed in a distributed way; the result is as large as the vocabulary squared."""
+def _gram_of_features(x: DataFrame, rows_each: int = 512) -> tuple[list, np.ndarray]:
+    """The features and X' X. Each partition holds whole rows and adds up their dense products, a block of rows at a
+    time; the partitions' sums are added row by row. The result is as large as the vocabulary squared."""
     names = [r[0] for r in x.select("f").distinct().orderBy("f").collect()]
-    at = {f: i for i, f in enumerate(names)}
-    pairs = x.alias("a").join(x.alias("b"), "id").groupBy(F.col("a.f").alias("f"), F.col("b.f").alias("g")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("w"))
-    g = np.zeros((len(names), len(names)))
-    for f, h, w in pairs.toPandas().itertuples(index=False):
-        g[at[f], at[h]] = w
+    n = len(names)
+    order = np.array(names)
+
+    def products(frames):
+        import pandas as pd
+
+        total, held = np.zeros((n, n)), None
+
+        def add(frame):
+            ids, row = np.unique(frame["id"].to_numpy(), return_inverse=True)
+            col = np.searchsorted(order, frame["f"].to_numpy())
+            for a in range(0, len(ids), rows_each):
+                own = (row >= a) & (row < a + rows_each)
+                block = np.zeros((min(rows_each, len(ids) - a), n))
+                np.add.at(block, (row[own] - a, col[own]), frame["v"].to_numpy()[own])
+                total[:] += block.T @ block
+
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame])
+            unfinished = (frame["id"] == frame["id"].iloc[-1]).to_numpy() if len(frame) else np.zeros(0, bool)
+            held = frame[unfinished]
+            add(frame[~unfinished])
+        if held is not None and len(held):
+            add(held)
+            full = np.flatnonzero(total.any(1))
+            yield pd.DataFrame({"i": full, "row": list(total[full])})
+
+    def added(frame):
+        import pandas as pd
+
+        return pd.DataFrame({"i": frame["i"].iloc[:1], "row": [np.sum(frame["row"].to_list(), axis=0)]})
+
+    g = np.zeros((n, n))
+    if n:
+        parts = x.select("id", "f", F.col("v").cast("double").alias("v")).repartition("id").sortWithinPartitions("id").mapInPandas(products, "i long, row array<double>")
+        for i, row in parts.groupBy("i").applyInPandas(added, "i long, row array<double>").toPandas().itertuples(index=False):
+            g[i] = row
     return names, g
 
 
