@@ -10,8 +10,9 @@ document with the larger doc_id loses it, so of every removed word a copy stays
 
 A place carries its next `size` and last size - k words as 32-bit hashes, enough to decide a match of `size` words;
 longer passages are covered by their successive places. The sort is by range over words, doc_id and position, so a
-passage that a third of all rows share is spread over partitions; the two rows on each side of a partition's edge meet
-on the driver (four per partition).
+passage that a third of all rows share is spread over partitions. A partition's scan keeps a stack of places of rising
+doc_id, and passes on those that lack a smaller doc_id on one side (a few per partition, as sorted texts have their ids
+in any order); one task runs the same scan over these, so the result doesn't depend on the partitions.
 
 Defined cases: null text has no words; texts shorter than `size` words have no spans; rows without a doc_id count as
 larger than any other; repeated rows are one document; repeats inside one document don't count.
@@ -30,9 +31,8 @@ from .textcode import Words, chunks, column
 
 K_GRAM, SPAN = 10, 31
 _PLACES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("after", pa.binary()), ("before", pa.binary())])
-_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_()), ("after", pa.binary()), ("before", pa.binary())])
-_FOUND_SQL = "kind int, part int, doc_id long, h long, pos int, start int, end int, removed boolean, after binary, before binary"
-_SPAN, _FIRST, _LAST = 0, 1, 2
+_FOUND = pa.schema([("edge", pa.bool_()), ("part", pa.int32()), ("seq", pa.int32()), *_PLACES, ("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())])
+_FOUND_SQL = "edge boolean, part int, seq int, doc_id long, h long, pos int, after binary, before binary, start int, end int, removed boolean"
 
 
 def minimisers(grams: np.ndarray, inside: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -98,36 +98,41 @@ def spans(a: tuple, b: tuple, size: int):
 
 
 def _neighbours(batches, size: int):
-    """Compares the sorted places of a partition."""
+    """Compares the sorted places of a partition.
+
+    Besides spans it gives, in order, the places that still need their neighbours in other partitions: those before
+    which no smaller doc_id stands here, and those after which none does."""
     import pyspark
 
     part = pyspark.TaskContext.get().partitionId()
-    first = last = None
-    stack: list[tuple] = []  # places of falling doc_id whose next smaller one hasn't come yet
+    last, heads = None, []
+    stack: list[tuple] = []  # places whose next smaller doc_id hasn't come yet
 
-    def row(kind, x, start=0, end=0, removed=False, texts=False):
-        return (kind, part, x[0], x[1], x[2], start, end, removed, x[3] if texts else None, x[4] if texts else None)
+    def row(x, seq=0, edge=False, start=0, end=0, removed=False):
+        return (edge, part, seq, x[0], x[1], x[2], x[3] if edge else None, x[4] if edge else None, start, end, removed)
 
     for batch in batches:
-        out = []
+        out: dict[tuple, list[int]] = {}  # a place's spans all hold the place, so together they are one
         for x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if first is None:
-                first = x
-            if last is not None and common(x[3], last[3]) == 0 and common(x[4], last[4]) == 0:
-                stack.clear()
             near = [last] if last is not None else []
             while stack and _order(stack[-1][0]) >= _order(x[0]):
                 near.append(stack.pop())
             if stack:
                 near.append(stack[-1])
-            stack.append(x)
+            else:
+                heads.append(x)
+            if not stack or stack[-1][3:] != x[3:]:  # of equal surroundings the smallest doc_id serves all that follow
+                stack.append(x)
             for y in {id(y): y for y in near}.values():
-                out += [row(_SPAN, *s) for s in spans(x, y, size)]
+                for p, a, b, gone in spans(x, y, size):
+                    for kind in (False, True)[: 1 + gone]:
+                        ends = out.setdefault((*p[:3], kind), [a, b])
+                        ends[:] = min(a, ends[0]), max(b, ends[1])
             last = x
         if out:
-            yield _batch(out)
-    if first is not None:
-        yield _batch([row(_FIRST, first, texts=True), row(_LAST, last, texts=True)])
+            yield _batch([row(p, start=a, end=b, removed=p[3]) for p, (a, b) in out.items()])
+    if last is not None:
+        yield _batch([row(x, n, True) for n, x in enumerate([*heads, *stack, last])])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -135,10 +140,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def repeated_spans(docs: DataFrame, size: int = 50, k: int = K_GRAM, span: int = SPAN) -> Table:
-    """s_id, s_h (doc_id and text hash) and spans: sorted array of (start, end, removed), in words."""
+    """s_id, s_h (doc_id and text hash) and spans, in words: an array of (start, end, removed), first all repeated spans, then those removed; each kind sorted and united."""
     if k + span - 1 > size:
         raise ValueError("a passage of `size` words would need no minimiser")
-    spark = docs.sparkSession
     texts = keyed(docs)
     buckets = bucket_count(docs) // 2
     sent = texts.mapInArrow(fixed(_level, k, None, False, buckets, lambda g, ok: minimisers(g, ok, span)), _SENT)
@@ -148,28 +152,43 @@ def repeated_spans(docs: DataFrame, size: int = 50, k: int = K_GRAM, span: int =
     found = []
     for key in (("after", "before"), ("before", "after")):
         by = places.df.repartitionByRange(*key, "doc_id", "pos").sortWithinPartitions(*key, "doc_id", "pos")
-        table = Table(by.mapInArrow(fixed(_neighbours, size), _FOUND_SQL), "neighbours")
-        edges = sorted(table.df.filter(F.col("kind") != _SPAN).collect(), key=lambda r: (r["part"], r["kind"]))  # two per partition
-        as_place = lambda r: (r["doc_id"], r["h"], r["pos"], bytes(r["after"]), bytes(r["before"]))
-        more = [(x[0], x[1], s, e, gone) for a, b in zip(edges, edges[1:], strict=False) if a["part"] != b["part"] for x, s, e, gone in spans(as_place(a), as_place(b), size)]
-        found.append(table.df.filter(F.col("kind") == _SPAN).select("doc_id", "h", "start", "end", "removed"))
-        found.append(spark.createDataFrame(more, "doc_id long, h long, start int, end int, removed boolean"))
-    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()
-    out = Table(every.groupBy(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("spans")), "repeats")
+        table = Table(by.mapInArrow(fixed(_neighbours, size), _FOUND_SQL), "neighbours").df
+        edges = table.filter("edge").coalesce(1).sortWithinPartitions("part", "seq").select("doc_id", "h", "pos", "after", "before")
+        for rows in (table, edges.mapInArrow(fixed(_neighbours, size), _FOUND_SQL)):
+            found.append(rows.filter("not edge").select("doc_id", "h", "start", "end", "removed"))
+    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    key = ("doc_id", "h", "removed", "start")
+    out = Table(every.repartition("doc_id", "h").sortWithinPartitions(*key).mapInArrow(_united, "s_id long, s_h long, spans array<struct<start:int,end:int,removed:boolean>>"), "repeats")
     places.drop()
     shared.drop()
     return out
 
 
-def joined(spans_: list[tuple[int, int]]) -> list[list[int]]:
-    """Sorted spans with overlapping and touching ones joined."""
-    out: list[list[int]] = []
-    for a, b in spans_:
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+_UNITED = pa.schema([("s_id", pa.int64()), ("s_h", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())])))])
+
+
+def _united(batches):
+    """Unites the sorted spans of each text: those of all matches, and those that are removed."""
+    now, own = None, []
+
+    def made(rows):
+        cols = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _UNITED.types, strict=True)], schema=_UNITED)
+
+    for b in batches:
+        rows = []
+        for doc, h, start, end, gone in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if now != (doc, h):
+                if now is not None:
+                    rows.append((*now, own))
+                now, own = (doc, h), []
+            if own and own[-1]["removed"] == gone and start <= own[-1]["end"]:
+                own[-1]["end"] = max(own[-1]["end"], end)
+            else:
+                own.append({"start": start, "end": end, "removed": gone})
+        yield made(rows)
+    if now is not None:
+        yield made([(*now, own)])
 
 
 def deduplicated(docs: DataFrame, size: int = 50) -> DataFrame:
@@ -181,8 +200,7 @@ def deduplicated(docs: DataFrame, size: int = 50) -> DataFrame:
             rows = []
             for doc, text, marks in zip(*(column(chunk, c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 w = (text or "").encode().split()
-                every = joined([(m["start"], m["end"]) for m in marks or ()])
-                gone = joined([(m["start"], m["end"]) for m in marks or () if m["removed"]])
+                every, gone = ([(m["start"], m["end"]) for m in marks or () if m["removed"] == kind] for kind in (False, True))
                 kept, at = [], 0
                 for a, b in gone:
                     kept += w[at:a]
