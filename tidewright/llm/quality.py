@@ -29,6 +29,8 @@ RATE = 1.0
 SAMPLE = 4000
 N_GRAMS = (3, 4, 5)
 CUTOFF = 0.7
+#: Bytes of text that are scored together.
+CHUNK = 3 << 20
 _CONSTANT, _REPEAT = 0, 1
 
 
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int =
     got = text.select("doc_id", "_quality", "text").toArrow()
     got = got.take(pa.array(np.lexsort([got.column("doc_id").to_numpy()]))) if got.num_rows else got
     examples: list = []
-    for chunk in chunks(got.to_batches(), "text"):
+    for chunk in chunks(got.to_batches(), "text", 1 << 20):
         examples += Features(column(chunk, "text"), buckets).rows()
     return train(examples, np.asarray(got.column("_quality").to_pylist(), np.int64), buckets)
 
@@ -141,7 +143,7 @@ def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches):
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", CHUNK):
             yield pa.RecordBatch.from_arrays([column(chunk, "doc_id"), pa.array(_scores(chunk, shared.value))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -152,7 +154,7 @@ def accepted(docs: DataFrame, model: np.ndarray, cutoff: float = 0.5) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", CHUNK):
             yield chunk.filter(pa.array(_scores(chunk, shared.value) >= cutoff))
 
     return docs.mapInArrow(run, docs.schema)
