@@ -11,12 +11,45 @@ from pyspark.sql.window import Window
 from .relational import majority, top_by
 
 
+def top_products(unknown: DataFrame, known: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """id, other, sim (nine decimals): for each unknown row the k known ones with the largest dot products, among those that share a feature.
+
+    Dense products of two blocks of rows make no row per pair and feature; suits features of a bounded vocabulary."""
+    blocks = [max(1, -(-x.agg(F.countDistinct("id")).first()[0] // block)) for x in (unknown, known)]
+
+    def dealt(x: DataFrame, own: int, other: int, side: int) -> DataFrame:
+        b = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias("b")
+        o = F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("o")
+        cells = x.select(F.col("id").cast("long").alias("id"), F.col("f").cast("long").alias("f"), F.col("v").cast("double").alias("v"), b, o)
+        u, n = ("b", "o") if side == 0 else ("o", "b")
+        return cells.select("id", "f", "v", F.col(u).alias("u"), F.col(n).alias("n"), F.lit(side).alias("side"))
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        _, f = np.unique(frame["f"].to_numpy(), return_inverse=True)
+        sides = []
+        for side in (0, 1):
+            own = (frame["side"] == side).to_numpy()
+            ids, e = np.unique(frame["id"].to_numpy()[own], return_inverse=True)
+            dense, there = np.zeros((len(ids), f.max() + 1)), np.zeros((len(ids), f.max() + 1), np.float32)
+            dense[e, f[own]], there[e, f[own]] = frame["v"].to_numpy()[own], 1
+            sides.append((ids, dense, there))
+        (a, x, tx), (c, y, ty) = sides
+        if not len(a) or not len(c):
+            return pd.DataFrame({"id": a[:0], "other": c[:0], "sim": np.zeros(0)})
+        sims = np.where(tx @ ty.T > 0, np.round(x @ y.T, 9), -np.inf)
+        top = np.lexsort((np.broadcast_to(c, sims.shape), -sims), axis=1)[:, :k]
+        value = np.take_along_axis(sims, top, 1)
+        row, col = np.nonzero(value > -np.inf)
+        return pd.DataFrame({"id": a[row], "other": c[top[row, col]], "sim": value[row, col]})
+
+    both = dealt(unknown, *blocks, 0).unionByName(dealt(known, *blocks[::-1], 1))
+    found = both.groupBy("u", "n").applyInPandas(best, "id long, other long, sim double")
+    return top_by(found, k, ["id"], F.desc("sim"), F.asc("other"))
+
+
 def nearest_vote(x: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """id, label of the unlabelled: the vote of the k labelled ones with the largest dot products."""
-    known = x.join(labels.select("id"), "id", "left_semi").select(F.col("id").alias("other"), "f", F.col("v").alias("w"))
-    unknown = x.join(labels.select("id"), "id", "left_anti")
-    sims = unknown.join(known, "f").groupBy("id", "other").agg(F.sum(F.col("v") * F.col("w")).alias("sim"))
-    near = top_by(sims, k, ["id"], F.desc("sim"), F.asc("other"))
+    near = top_products(x.join(labels.select("id"), "id", "left_anti"), x.join(labels.select("id"), "id", "left_semi"), k)
     return majority(near.join(labels.select(F.col("id").alias("other"), "label"), "other"), "id", "label", "sim")
 
 

@@ -324,7 +324,7 @@ QUERIES = {
     "q39_lsh_feedback": (lsh_feedback, _lsh_sql(_NEAR, "SELECT id, round(min(dist), 6) AS dist FROM nr WHERE i <= 5 GROUP BY 1 ORDER BY min(dist), 1 LIMIT 5")),
     "q40_nearest_vote": (nearest_vote, p.sql(
         *_ALL, "y AS MATERIALIZED (SELECT movieid, tagid, round(tfidf, 9) AS tfidf FROM x)",
-        "s AS (SELECT a.movieid, b.movieid AS other, sum(a.tfidf * b.tfidf) AS sim FROM y a JOIN y b USING (tagid) WHERE a.movieid NOT IN (SELECT movieid FROM mllabels) AND b.movieid IN (SELECT movieid FROM mllabels) GROUP BY 1, 2)",
+        "s AS (SELECT a.movieid, b.movieid AS other, round(sum(a.tfidf * b.tfidf), 9) AS sim FROM y a JOIN y b USING (tagid) WHERE a.movieid NOT IN (SELECT movieid FROM mllabels) AND b.movieid IN (SELECT movieid FROM mllabels) GROUP BY 1, 2)",
         f"k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY movieid ORDER BY sim DESC, other) AS i FROM s) WHERE i <= {VOTERS})",
         "vt AS (SELECT k.movieid, l.label, count(*) AS n, max(sim) AS best FROM k JOIN mllabels l ON l.movieid = k.other GROUP BY 1, 2)",
         final="SELECT movieid, label FROM (SELECT *, row_number() OVER (PARTITION BY movieid ORDER BY n DESC, best DESC, label) AS i FROM vt) WHERE i = 1", use=_CP_USE)),
