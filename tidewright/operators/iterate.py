@@ -15,9 +15,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_registered: set[str] = set()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/tidewright/{spark.sparkContext.applicationId}"
+    if path not in _registered:
+        _registered.add(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
+
+
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """df, written to the folder that all executors share and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewright/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

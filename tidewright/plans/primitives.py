@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import weights as w
 from ..operators import relational as r
-from ..operators.iterate import shared_dir
+from ..operators.iterate import work_dir
 from ..sources import readers
 from ..sources.readers import Bed
 from . import prelude as p
@@ -19,7 +19,7 @@ from .models import GENRE, OTHER
 
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Labels written as CSV with a header and read back with the fixed schema."""
-    path = f"{shared_dir(spark)}/tidewright/csv-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/csv-{uuid.uuid4().hex}"
     readers.write_csv(Bed(spark, sf).labels(), path)
     return readers.read_csv(spark, path, "mllabels")
 
