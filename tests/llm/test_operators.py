@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import best_fit_packing, byte_bpe, components, exact_dedup, ngram_join, pii, quality, sharding, substring_dedup, suffix_dedup, topk_search
-from tidewright.llm.runtime import shared_dir
+from tidewright.llm.runtime import work_dir
 
 from . import brute
 from .conftest import frame
@@ -245,7 +245,7 @@ def test_bpe_empty(empty):
 def test_sharding(spark, docs, empty):
     import uuid
 
-    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/tidewright/test-{uuid.uuid4().hex}", target_bytes=1 << 20, fanout=3, smallest=1 << 10)
+    store = sharding.ShardStore(spark, f"{work_dir(spark)}/test-{uuid.uuid4().hex}", target_bytes=1 << 20, fanout=3, smallest=1 << 10)
     assert store.append(empty) == 1 and store.read().count() == 0
     for _ in range(2):
         store.append(docs)

@@ -8,19 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iterate import work_dir
+
 #: Largest table, in bytes as written, that an operator may broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, set here only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "/tmp/checkpoints/tidewright"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -36,7 +29,7 @@ class Table:
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tidewright/{label}-{uuid.uuid4().hex}"
+        self.path = f"{work_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.schema = df.schema
 
