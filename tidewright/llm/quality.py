@@ -7,7 +7,7 @@ output weights are learned by plain stochastic gradient descent in numpy, on a b
 (`sample`, chosen by a hash of doc_id). As the output is linear in the average, a trained model is applied as one
 number per bucket, and that table's size is fixed by `buckets`.
 
-Defined cases: null text is empty; an empty text is scored by the constant alone; rows without a label are never read
+Defined cases: null text is empty; of several labels of a doc_id the largest counts; an empty text is scored by the constant alone; rows without a label are never read
 for training; without labels of both kinds every score is 0.5; repeated rows get equal scores; whole texts are scored.
 """
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; bounds a Python worker's memory at about 20 times this.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
