@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcode import CHUNK_BYTES, chunks, column, mix
+from .textcode import chunks, column, mix
 
 #: Splits of more bytes are merged by heap.
 LONG = 128
+#: Up to so many bytes a bucket holds one length and needs no padding.
+EXACT = 24
+#: Bytes of text whose splits are merged together.
+CHUNK = 3 << 20
 #: Splits whose ids a worker remembers between chunks.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -41,7 +46,7 @@ class ByteBPE:
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = {(self.ranks[t[:k]], self.ranks[t[k:]]): i for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
         self._table()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
 
     def _table(self) -> None:
         """Open addressing with linear probing; slots hold the pair as one integer, and its rank, which is the merged id."""
@@ -105,7 +110,7 @@ class ByteBPE:
             width = int((rows >= 0).sum(1).max())
             rows, ranks = rows[:, :width], ranks[:, : max(0, width - 1)]
 
-    def merge_long(self, piece: bytes) -> tuple[int, ...]:
+    def merge_long(self, piece: bytes) -> list[int]:
         """The same merges with a heap: least rank first, then leftmost."""
         ids = [int(self.byte_id[b]) for b in piece]
         n = len(ids)
@@ -123,41 +128,45 @@ class ByteBPE:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y < n and (s := self.pairs.get((ids[x], ids[y]))) is not None:
                     heapq.heappush(heap, (s, x, ids[x], ids[y]))
-        return tuple(x for x in ids if x >= 0)
+        return [x for x in ids if x >= 0]
 
     def learn(self, splits: list[str]) -> None:
         """Puts the ids of new splits into `known`."""
-        rows: dict[int, list[tuple[str, bytes]]] = {}
-        for s in splits:
-            b = s.encode()
-            if (whole := self.ranks.get(b)) is not None:
-                self.known[s] = (whole,)
-            elif len(b) > LONG:
-                self.known[s] = self.merge_long(b)
+        buckets: dict[int, tuple[list[str], list[bytes]]] = {}
+        whole, known = self.ranks.get, self.known
+        for s, b in zip(splits, [s.encode() for s in splits], strict=True):
+            if (rank := whole(b)) is not None:
+                known[s] = [rank]
+            elif (n := len(b)) > LONG:
+                known[s] = self.merge_long(b)
             else:
-                rows.setdefault(1 << (len(b) - 1).bit_length() if len(b) > 8 else len(b), []).append((s, b))
-        for width, group in rows.items():
+                names, raw = buckets.setdefault(n if n <= EXACT else 1 << (n - 1).bit_length(), ([], []))
+                names.append(s)
+                raw.append(b)
+        for width, (names, raw) in buckets.items():
             step = max(1, (1 << 19) // width)
-            for k in range(0, len(group), step):
-                part = group[k : k + step]
-                raw = np.frombuffer(b"".join(b.ljust(width, b"\0") for _, b in part), np.uint8).reshape(-1, width)
-                size = np.fromiter((len(b) for _, b in part), np.int64, len(part))
-                ids = np.where(np.arange(width) < size[:, None], self.byte_id[raw], -1).astype(np.int32)
+            for k in range(0, len(names), step):
+                part = raw[k : k + step]
+                if width > EXACT:
+                    cells = np.frombuffer(b"".join([b.ljust(width, b"\0") for b in part]), np.uint8).reshape(-1, width)
+                    ids = np.where(np.arange(width) < np.fromiter(map(len, part), np.int64, len(part))[:, None], self.byte_id[cells], -1).astype(np.int32)
+                else:
+                    ids = self.byte_id[np.frombuffer(b"".join(part), np.uint8).reshape(-1, width)]
                 merged = self.merge_rows(ids)
-                counts = (merged >= 0).sum(1).tolist()
-                for (s, _), row, c in zip(part, merged.tolist(), counts, strict=True):
-                    self.known[s] = tuple(row[:c])
+                there = merged >= 0
+                flat, at = merged[there].tolist(), 0
+                for s, end in zip(names[k : k + step], np.cumsum(there.sum(1)).tolist(), strict=True):
+                    known[s] = flat[at:end]
+                    at = end
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.pattern.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new: set[str] = set()
-        for s in split:
-            new.update(s)
-        self.learn([s for s in new if s not in self.known])
-        known = self.known
-        return [[i for w in s for i in known[w]] for s in split]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        self.learn(list(new))
+        ids = self.known.__getitem__
+        return [list(chain.from_iterable(map(ids, s))) for s in split]
 
     def decode(self, ids: list[int]) -> bytes:
         table = self.bytes
@@ -180,7 +189,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False
     def run(batches):
         bpe = coder(ranks_path, pattern)
         decimal = [str(i) for i in range(len(bpe.bytes))]
-        for chunk in chunks(batches, "text", CHUNK_BYTES // 2):
+        for chunk in chunks(batches, "text", CHUNK):
             ids = bpe.encode_batch([t or "" for t in column(chunk, "text").to_pylist()])
             out = {"doc_id": column(chunk, "doc_id")}
             if digest:
