@@ -176,6 +176,8 @@ def test_top_k_edge_cases(spark):
     cells = df.select(F.col("vec_id").alias("id"), topk_search.quantised(F.col("embedding")).alias("v"))
     assert {tuple(x) for x in topk_search.top_k(cells, F.col("id") % 50 == 0).collect()} == {(0, 1, 50, 256 * 64 - 512), (50, 1, 0, 256 * 64 - 512)}
     assert topk_search.top_k(cells.filter("id < 0"), F.col("id") % 50 == 0).count() == 0
+    again = spark.createDataFrame([(0, [1]), (0, [1]), (2, [3, 9])], "id long, v array<long>")
+    assert [tuple(x) for x in topk_search.top_k(again, F.col("id") % 50 == 0).collect()] == [(0, 1, 2, 3)]
 
 
 # n-gram join

@@ -10,8 +10,8 @@ neither side is collected or broadcast. A first pass over one strip per batch gi
 from; the second pass over the other strips keeps only what can still enter.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id; a
-query has no result from rows with its own id; shorter vectors count as padded with zeros; fewer candidates than k give
-all; ties go to the smaller id.
+query has no result from rows with its own id, and rows that repeat an id are one query (with the vector of any of
+them); shorter vectors count as padded with zeros; fewer candidates than k give all; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, strip_rows: int = ST
     spark = vectors.sparkSession
     cells = Table(vectors, "vectors")
     strips_n = max(1, -(-cells.df.count() // strip_rows))
-    query_rows = cells.df.filter(is_query)
+    query_rows = cells.df.filter(is_query).dropDuplicates(["id"])
     batches_n = max(1, -(-query_rows.count() // batch_rows))
 
     def packed(n: int, name: str):
