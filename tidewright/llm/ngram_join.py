@@ -143,7 +143,7 @@ def sketch(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _dealt(batches, n: int, bound: Bound, buckets: int):
-    for chunk in chunks(batches, "text", 8 << 20):
+    for chunk in chunks(batches, "text"):
         first, tokens = sets(column(chunk, "text"), n)
         ids = column(chunk, "doc_id").to_pylist()
         names = [set_name(tokens[first[d] : first[d + 1]]) if first[d] < first[d + 1] else None for d in range(len(ids))]
@@ -206,7 +206,7 @@ def _listed(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _OUT.types, strict=True)], schema=_OUT)
 
 
-def _sketches(sets_: list[np.ndarray], limit: int = 64 << 20) -> np.ndarray:
+def _sketches(sets_: list[np.ndarray], limit: int = 32 << 20) -> np.ndarray:
     """Sketches of one length, if possible two bits for each token of the largest set; one row per set."""
     bits = 2 * sketch_bits(max(map(len, sets_)))
     while bits > 256 and bits // 8 * len(sets_) > limit:
