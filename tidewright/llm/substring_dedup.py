@@ -31,7 +31,7 @@ from .textcode import Words, chunks, column, deltas, mix, seeded, undeltas, wind
 
 _SENT = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary"
 _LAST = np.iinfo(np.int64).max
-_ENTRIES, _HEADER, _ANSWER = 0, 1, 2
+_ENTRIES, _HEADER, _ANSWER, _SHARED = 0, 1, 2, 3
 
 
 def lengths(size: int, shortest: int = 7) -> list[int]:
@@ -54,8 +54,8 @@ def _rows(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBa
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), *[(x, pa.binary()) for x in "abcd"]])
 
 
-def _level(batches, size: int, before: int | None, last: bool, buckets: int, select=None):
-    """One level's rows of a partition. `select` (windows, which lie in one text) may retain some windows only."""
+def _level(batches, size: int, before: int | None, last: bool, buckets: int, select=None, both: bool = False):
+    """One level's rows of a partition. `select` (windows, which lie in one text) may retain some windows only. With `both` the last level also tells which windows another document has."""
     for chunk in chunks(batches, "text"):
         w = Words(column(chunk, "text"))
         first = w.first
@@ -86,13 +86,15 @@ def _level(batches, size: int, before: int | None, last: bool, buckets: int, sel
         settled = order > least if last else several
         local = np.zeros(len(w), bool)
         local[at[settled]] = True
+        shared = np.zeros(len(w), bool)
+        shared[at[several]] = True
         send = np.flatnonzero(order == least)
         h, at, order, several = h[send], at[send], order[send], several[send]
         bucket = (seeded(h, 7) % np.uint64(buckets)).astype(np.int64)
         split = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[split], np.arange(buckets + 1))
         name = int(np.bitwise_xor.reduce(mix(texts.view(np.uint64) + np.arange(len(texts), dtype=np.uint64))) ^ mix(ids.view(np.uint64)).sum(dtype=np.uint64)) % (1 << 63)
-        rows = [(name % buckets, name, _HEADER, ids.astype("<i8").tobytes() + texts.astype("<i8").tobytes() + np.asarray(column(chunk, "doc_id").is_null()).astype(np.uint8).tobytes(), first.astype("<i8").tobytes(), np.packbits(local).tobytes(), None)]
+        rows = [(name % buckets, name, _HEADER, ids.astype("<i8").tobytes() + texts.astype("<i8").tobytes() + np.asarray(column(chunk, "doc_id").is_null()).astype(np.uint8).tobytes(), first.astype("<i8").tobytes(), np.packbits(local).tobytes(), np.packbits(shared).tobytes() if both else None)]
         for b in np.flatnonzero(np.diff(edges)):
             own = split[edges[b] : edges[b + 1]]
             docs_, place = np.unique(doc[at[own]], return_inverse=True)
@@ -102,7 +104,7 @@ def _level(batches, size: int, before: int | None, last: bool, buckets: int, sel
         yield _rows(rows, _SENT_ARROW.names, _SENT_ARROW)
 
 
-def _answers(table: pa.Table, last: bool) -> pa.Table:
+def _answers(table: pa.Table, last: bool, both: bool = False) -> pa.Table:
     kinds = np.asarray(table.column("kind"))
     kept = table.filter(pa.array(kinds == _HEADER))
     table = table.filter(pa.array(kinds == _ENTRIES))
@@ -122,29 +124,41 @@ def _answers(table: pa.Table, last: bool) -> pa.Table:
         low, high = np.minimum.reduceat(order[by], edge), np.maximum.reduceat(order[by], edge)
         yes = np.empty(len(h), bool)
         many = np.diff(np.r_[edge, len(by)])
-        yes[by] = order[by] > np.repeat(low, many) if last else np.repeat(low != high, many) & ~several[by]
-        for name, x, y in zip(names, at, np.split(yes, np.cumsum(sizes)[:-1]), strict=True):
-            if y.any():
-                rows.append((0, name, _ANSWER, deltas(x[y]), None, None, None))
+        shared = np.repeat(low != high, many) & ~several[by]
+        yes[by] = order[by] > np.repeat(low, many) if last else shared
+        found = [(_ANSWER, yes)]
+        if both:
+            also = np.empty(len(h), bool)
+            also[by] = shared
+            found.append((_SHARED, also))
+        for kind, marks in found:
+            for name, x, y in zip(names, at, np.split(marks, np.cumsum(sizes)[:-1]), strict=True):
+                if y.any():
+                    rows.append((0, name, kind, deltas(x[y]), None, None, None))
     return pa.concat_tables([kept.select(_SENT_ARROW.names).cast(_SENT_ARROW), pa.Table.from_batches([_rows(rows, _SENT_ARROW.names, _SENT_ARROW)])])
 
 
 _BITS = pa.schema([("b_id", pa.int64()), ("b_h", pa.int64()), ("bits", pa.binary())])
+_BOTH = _BITS.append(pa.field("shared", pa.binary()))
 
 
-def _bitmaps(table: pa.Table) -> pa.Table:
+def _bitmaps(table: pa.Table, both: bool = False) -> pa.Table:
     kinds = np.asarray(table.column("kind"))
     head = table.filter(pa.array(kinds == _HEADER)).to_pylist()[0]
     first = np.frombuffer(head["b"], "<i8")
     n = len(first) - 1
     ids, texts, null = np.frombuffer(head["a"], "<i8", n), np.frombuffer(head["a"], "<i8", n, 8 * n), np.frombuffer(head["a"], np.uint8, n, 16 * n)
-    found = np.unpackbits(np.frombuffer(head["c"], np.uint8), count=first[-1]).view(bool)
-    for a in table.filter(pa.array(kinds == _ANSWER)).column("a").to_pylist():
-        found[undeltas(a)] = True
+    marks = []
+    for field, kind in (("c", _ANSWER), ("d", _SHARED))[: 1 + both]:
+        found = np.unpackbits(np.frombuffer(head[field], np.uint8), count=first[-1]).view(bool)
+        for a in table.filter(pa.array(kinds == kind)).column("a").to_pylist():
+            found[undeltas(a)] = True
+        marks.append(found)
     rows = []
-    for d in np.unique(np.searchsorted(first, np.flatnonzero(found), "right") - 1):
-        rows.append((None if null[d] else int(ids[d]), int(texts[d]), np.packbits(found[first[d] : first[d + 1]]).tobytes()))
-    return pa.Table.from_batches([_rows(rows, _BITS.names, _BITS)])
+    for d in np.unique(np.searchsorted(first, np.flatnonzero(np.logical_or.reduce(marks)), "right") - 1):
+        rows.append((None if null[d] else int(ids[d]), int(texts[d]), *(np.packbits(m[first[d] : first[d + 1]]).tobytes() for m in marks)))
+    schema = _BOTH if both else _BITS
+    return pa.Table.from_batches([_rows(rows, schema.names, schema)])
 
 
 def repeated_windows(docs: DataFrame, size: int = 13, broadcast_bytes: int | None = None) -> Table:
@@ -158,7 +172,7 @@ def repeated_windows(docs: DataFrame, size: int = 13, broadcast_bytes: int | Non
         source = texts if found is None else with_bits(texts, found, "inner", broadcast_bytes)
         sent = source.mapInArrow(fixed(_level, n, before, last, buckets), _SENT)
         answered = sent.groupBy("bucket").applyInArrow(fixed(_answers, last), _SENT)
-        maps = answered.groupBy("chunk").applyInArrow(_bitmaps, "b_id long, b_h long, bits binary")
+        maps = answered.groupBy("chunk").applyInArrow(fixed(_bitmaps), "b_id long, b_h long, bits binary")
         table = Table(maps.dropDuplicates(["b_id", "b_h"]), f"windows-{n}")
         if found is not None:
             found.drop()

@@ -8,6 +8,10 @@ nearest neighbours of smaller doc_id, and the match is extended to the left by t
 pass does the same with the words before as the sort key. A match of `size` words or more is a repeated span; the
 document with the larger doc_id loses it, so of every removed word a copy stays in a smaller document.
 
+Neither order ranks by the total match, so the neighbours may miss a span. A third step decides exactly: every window of
+`size` words whose minimisers all stand in other documents too is hashed, and one packed exchange gives the smallest
+doc_id that has it. Equal windows have equal minimisers, so no repeated window lacks its place in that exchange.
+
 A place carries its next `size` and last size - k words as 32-bit hashes, enough to decide a match of `size` words;
 longer passages are covered by their successive places. The sort is by range over words, doc_id and position, so a
 passage that a third of all rows share is spread over partitions. A partition's scan keeps a stack of places of rising
@@ -20,6 +24,8 @@ larger than any other; repeated rows are one document; repeats inside one docume
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .runtime import Table, bucket_count, fixed, hinted
 from .substring_dedup import _SENT, _answers, _bitmaps, _level, keyed, with_bits
-from .textcode import Words, chunks, column
+from .textcode import Words, chunks, column, windows
 
 K_GRAM, SPAN = 10, 31
 _PLACES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("after", pa.binary()), ("before", pa.binary())])
@@ -35,24 +41,70 @@ _FOUND = pa.schema([("edge", pa.bool_()), ("part", pa.int32()), ("seq", pa.int32
 _FOUND_SQL = "edge boolean, part int, seq int, doc_id long, h long, pos int, after binary, before binary, start int, end int, removed boolean"
 
 
-def minimisers(grams: np.ndarray, inside: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Which k-grams are the least of some `span` successive ones that lie in one text."""
-    chosen = np.zeros(len(grams), bool)
+def _least(grams: np.ndarray, inside: np.ndarray, span: int):
+    """In steps: the first of some `span` successive k-grams, the place of the least of each, and which lie in one text."""
     if len(grams) < span:
-        return chosen
+        return
     value = np.where(inside, grams, np.uint64(2**64 - 1))
     view = np.lib.stride_tricks.sliding_window_view(value, span)
     ok = np.lib.stride_tricks.sliding_window_view(inside, span)
     step = 1 << 18
     for i in range(0, len(view), step):
-        whole = ok[i : i + step].all(1)
-        at = view[i : i + step].argmin(1) + np.arange(i, min(i + step, len(view)))
+        yield i, view[i : i + step].argmin(1) + np.arange(i, min(i + step, len(view))), ok[i : i + step].all(1)
+
+
+def minimisers(grams: np.ndarray, inside: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Which k-grams are the least of some `span` successive ones that lie in one text."""
+    chosen = np.zeros(len(grams), bool)
+    for _, at, whole in _least(grams, inside, span):
         chosen[at[whole]] = True
     return chosen
 
 
-def _places(batches, size: int, k: int):
+_CANDIDATES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("text", pa.string()), ("bits", pa.binary())])
+
+
+def _candidates(batches, size: int, k: int, span: int):
+    """The texts with a bitmap of the windows of `size` words whose minimisers are all marked in `bits`."""
     for chunk in chunks(batches, "text"):
+        w = Words(column(chunk, "text"))
+        first = w.first
+        grams = windows(w.hashes(), k)
+        doc = np.repeat(np.arange(w.texts), np.diff(first))[: len(grams)]
+        inside = np.arange(len(grams)) + k <= first[doc + 1]
+        known = np.zeros(len(w), bool)
+        for d, b in enumerate(column(chunk, "bits").to_pylist()):
+            known[first[d] : first[d + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=first[d + 1] - first[d]).view(bool)
+        bad = np.ones(len(w), bool)
+        for i, at, whole in _least(grams, inside, span):
+            bad[i : i + len(at)] = ~(whole & known[at])
+        sums = np.concatenate([[0], np.cumsum(bad)])
+        n = size - k - span + 2
+        on = np.zeros(len(w), bool)
+        on[: max(0, len(w) - n + 1)] = sums[n:] == sums[: max(0, len(sums) - n)]
+        bits = [np.packbits(on[a:b]).tobytes() if on[a:b].any() else None for a, b in zip(first[:-1], first[1:], strict=True)]
+        rows = chunk.select(["doc_id", "h", "text"]).append_column("bits", pa.array(bits, pa.binary()))
+        yield rows.filter(pa.array([b is not None for b in bits])).cast(_CANDIDATES)
+
+
+_SPANS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())])
+
+
+def _runs(table: pa.Table, size: int) -> pa.Table:
+    """The spans that a chunk's marked windows cover."""
+    maps, rows = _bitmaps(table, True), []
+    for doc, h, *marks in zip(*(maps.column(c).to_pylist() for c in ("b_id", "b_h", "shared", "bits")), strict=True):
+        for gone, bits in enumerate(marks):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+            if len(at):
+                new = np.flatnonzero(np.diff(at) > size)
+                rows += [(doc, h, a, b + size, bool(gone)) for a, b in zip(at[np.r_[0, new + 1]].tolist(), at[np.r_[new, len(at) - 1]].tolist(), strict=True)]
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _SPANS.types, strict=True)], schema=_SPANS)
+
+
+def _places(batches, size: int, k: int):
+    for chunk in chunks(batches, "text", 1 << 20):  # a place's row takes far more memory than its words
         w = Words(column(chunk, "text"))
         short = (w.hashes() >> np.uint64(32)).astype(">u4")
         ids, texts, rows = column(chunk, "doc_id").to_pylist(), column(chunk, "h").to_pylist(), []
@@ -146,7 +198,7 @@ def repeated_spans(docs: DataFrame, size: int = 50, k: int = K_GRAM, span: int =
     texts = keyed(docs)
     buckets = bucket_count(docs) // 2
     sent = texts.mapInArrow(fixed(_level, k, None, False, buckets, lambda g, ok: minimisers(g, ok, span)), _SENT)
-    maps = sent.groupBy("bucket").applyInArrow(fixed(_answers, False), _SENT).groupBy("chunk").applyInArrow(_bitmaps, "b_id long, b_h long, bits binary")
+    maps = sent.groupBy("bucket").applyInArrow(fixed(_answers, False), _SENT).groupBy("chunk").applyInArrow(fixed(_bitmaps), "b_id long, b_h long, bits binary")
     shared = Table(maps.dropDuplicates(["b_id", "b_h"]), "minimisers")
     places = Table(with_bits(texts, shared, "inner").mapInArrow(fixed(_places, size, k), "doc_id long, h long, pos int, after binary, before binary"), "places")
     found = []
@@ -156,10 +208,14 @@ def repeated_spans(docs: DataFrame, size: int = 50, k: int = K_GRAM, span: int =
         edges = table.filter("edge").coalesce(1).sortWithinPartitions("part", "seq").select("doc_id", "h", "pos", "after", "before")
         for rows in (table, edges.mapInArrow(fixed(_neighbours, size), _FOUND_SQL)):
             found.append(rows.filter("not edge").select("doc_id", "h", "start", "end", "removed"))
-    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    places.drop()
+    # decide exactly: every window that may be repeated meets its equals
+    sent = with_bits(texts, shared, "inner").mapInArrow(lambda batches: _level(_candidates(batches, size, k, span), size, size, True, buckets, both=True), _SENT)
+    answered = sent.groupBy("bucket").applyInArrow(fixed(_answers, True, True), _SENT)
+    found.append(answered.groupBy("chunk").applyInArrow(fixed(_runs, size), "doc_id long, h long, start int, end int, removed boolean"))
+    every = reduce(DataFrame.unionByName, found)
     key = ("doc_id", "h", "removed", "start")
     out = Table(every.repartition("doc_id", "h").sortWithinPartitions(*key).mapInArrow(_united, "s_id long, s_h long, spans array<struct<start:int,end:int,removed:boolean>>"), "repeats")
-    places.drop()
     shared.drop()
     return out
 
