@@ -2,7 +2,7 @@
 
 import random
 
-from tidewright.llm import suffix_dedup
+from tidewright.llm import pii, suffix_dedup
 
 from . import brute
 from .conftest import frame
@@ -29,3 +29,19 @@ def test_suffix_dedup_equals_brute_force_on_edited_families(spark):
     got = suffix_dedup.deduplicated(frame(spark, rows), 50).collect()
     assert {(r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in got} == brute.windows(rows, 50)
     assert {r.doc_id: r.n_repeated for r in got} == brute.repeated(rows, 50)
+
+
+def test_pii_terms_of_a_fixed_signature_and_far_from_the_address(spark):
+    filler = " ".join(["and so the long day went on by the river"] * 4)
+    template = "with the kindest regards from all of us here in the office of Quillon"  # over 60 characters, alike in every text
+    rows = [(i, f"item{i} {filler} {template} quil@corp.example {filler}") for i in range(5)]
+    rows += [(i, f"Brontes wrote item{i} {filler} to bron@corp.example") for i in range(10, 15)]
+    rows += [(i, f"item{i} {filler} with the kindest regards from all of us here in the office wrote") for i in range(20, 120)]
+    df = frame(spark, rows)
+    out = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert not any("Quillon" in out[i] or "<EMAIL>" not in out[i] for i in range(5))
+    assert not any("Brontes" in out[i] or "<EMAIL>" not in out[i] for i in range(10, 15))
+    assert all(out[i] == t for i, t in rows if i >= 20)
+    assert filler in out[0] and filler in out[10]
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert "term:0:7" in spans[10]

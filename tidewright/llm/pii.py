@@ -1,11 +1,11 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms around them.
 
-Base spans are what four patterns find. Their distinct values are the protected entities. For each term that stands
-near an entity, corpus co-occurrence tells how much it discloses: PMI(term; entity) / IC(entity), with documents as the
-events; a term that occurs with the entity only has disclosure 1. Terms at or above `generalise` in the contexts of
-their entity become spans of kind `term`; in redacted text they are generalised to a placeholder, and those at or above
-`remove` are removed. A term must stand in `support` different contexts of the entity, so copies of one text reveal
-nothing by themselves.
+Base spans are what four patterns find. Their distinct values are the protected entities. For each term of a document
+that holds an entity, corpus co-occurrence tells how much it discloses: PMI(term; entity) / IC(entity), with whole
+documents as the events; a term that occurs with the entity only has disclosure 1. All places of terms at or above
+`generalise` in documents that hold their entity, outside base spans, become spans of kind `term`; in redacted text they
+are generalised to a placeholder, and those at or above `remove` are removed. A term must stand in `support` different
+texts with the entity, so copies of one text reveal nothing by themselves.
 
 DataFrame operations only. A pattern's positions come from the lengths of what it matches and of the pieces that a split
 by it leaves. The patterns use possessive loops, whose matching needs no stack, and start only where a run of their
@@ -32,7 +32,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
 
-NEAR = 60
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 1.0
@@ -76,20 +75,14 @@ def spans_of(text: Column, pattern: str, hint: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text), and one array of valid spans per kind, each span with its context."""
+    """doc_id, h (a hash of the text), and one array of valid spans per kind."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kinds = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     for k in KINDS:
         d = d.withColumn(f"_{k}", spans_of(F.col("text"), kinds[k], _hint(k, F.col("text"))))
 
-    def with_context(x: Column) -> Column:
-        left = F.greatest(x["start"] - NEAR, F.lit(0))
-        before = F.substring(F.col("text"), (left + 1).cast("int"), (x["start"] - left).cast("int"))
-        after = F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.lit(NEAR))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), left.alias("left"), before.alias("before"), after.alias("after"))
-
     def kept(k: str) -> Column:
-        return F.transform(F.filter(F.col(f"_{k}"), lambda x: _valid(k, x["value"])), with_context).alias(k)
+        return F.filter(F.col(f"_{k}"), lambda x: _valid(k, x["value"])).alias(k)
 
     return d.select("doc_id", F.xxhash64("text").alias("h"), *[kept(k) for k in KINDS])
 
@@ -98,7 +91,7 @@ def mentions(base: DataFrame) -> DataFrame:
     """One row per span: doc_id, h, entity and the span's fields."""
 
     def of(k: str) -> Column:
-        return F.transform(F.col(k), lambda x: F.struct(F.concat(F.lit(f"{k}:"), F.lower(x["value"])).alias("entity"), *[x[c].alias(c) for c in ("start", "end", "left", "before", "after")]))
+        return F.transform(F.col(k), lambda x: F.struct(F.concat(F.lit(f"{k}:"), F.lower(x["value"])).alias("entity"), *[x[c].alias(c) for c in ("start", "end")]))
 
     every = F.concat(*[of(k) for k in KINDS])
     return base.filter(F.size(F.concat(*KINDS)) > 0).select("doc_id", "h", F.explode(every).alias("m")).select("doc_id", "h", "m.*")
@@ -108,36 +101,62 @@ def _terms(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)), F.lower)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def _of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (doc_id, h, ...) joined with keys (doc_id, h, ...)."""
+    k = keys.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    return rows.join(k, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).drop("_id", "_h")
+
+
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """entity, term, disclosure: the terms whose share of an entity's information reaches the threshold."""
     total = F.broadcast(docs.agg(F.count("*").cast("double").alias("n_docs")))  # one row
-    value = F.expr("substring(entity, instr(entity, ':') + 1)")  # a term inside the entity occurs with it
-    context = found.select("doc_id", "h", "entity", F.concat_ws(" ", "before", value, "after").alias("context"))
-    entities = context.groupBy("entity").agg(F.countDistinct("h").alias("texts"), F.countDistinct("doc_id").alias("n_entity")).filter(F.col("texts") >= support)
-    near = Table(context.select("doc_id", "entity", "context", F.explode(F.array_distinct(_terms("context"))).alias("term")), "near")
-    at_least = near.df.groupBy("term").agg(F.countDistinct("doc_id").alias("at_least"))
-    pairs = near.df.join(entities.select("entity"), "entity", "left_semi").groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("n_both"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support)
-    # a term in more documents than this misses the threshold; those near entities alone often show it
-    most = F.col("n_both") * F.pow(F.col("n_docs") / F.col("n_entity"), F.lit(1 - generalise))
-    pairs = pairs.join(entities.select("entity", "n_entity"), "entity").join(at_least, "term").join(total).filter(F.col("at_least") <= most * 1.000001)
-    pairs = Table(pairs.drop("at_least"), "pairs")
-    wanted = Table(pairs.df.select("term").distinct(), "terms")
+    holders = found.select("doc_id", "h", "entity").distinct()
+    entities = holders.groupBy("entity").agg(F.count_distinct("h").alias("texts"), F.count_distinct("doc_id").alias("n_entity")).filter(F.col("texts") >= support)
+    # a term in more documents than this misses the threshold, even if it stands in all of the entity's
+    most = F.col("n_entity") * F.pow(F.col("n_docs") / F.col("n_entity"), F.lit(1 - generalise)) * 1.000001
+    entities = entities.filter("n_entity > 0").join(total).select("entity", "n_entity", "n_docs", most.alias("most"))
+    held = Table(holders.join(entities, "entity"), "holders")
+    keys = Table(held.df.select("doc_id", "h").distinct(), "holding")
+    near = Table(_of(_texts(docs), hinted(keys, 8 << 20)).select("doc_id", "h", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).distinct(), "near")
+    limit = F.broadcast(held.df.agg(F.max("most").alias("limit")))  # one row
+    often = near.df.groupBy("term").agg(F.count_distinct("h").alias("texts"), F.count_distinct("doc_id").alias("at_least")).filter(F.col("texts") >= support)
+    wanted = Table(often.join(limit).filter("at_least <= limit").select("term"), "terms")
     everywhere = docs.select(F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term"))
     n_term = everywhere.join(hinted(wanted, 4 << 20), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    all_ = pairs.df.join(n_term, "term")
+    rare = Table(n_term.join(limit).filter("n_term <= limit").drop("limit"), "rare")
+    both = _of(near.df.join(hinted(rare, 4 << 20), "term"), held.df).filter("n_term <= most")
+    pairs = both.groupBy("entity", "term", "n_term", "n_entity", "n_docs").agg(F.count_distinct("doc_id").alias("n_both"), F.count_distinct("h").alias("texts")).filter(F.col("texts") >= support)
     log = lambda n: F.log(F.col("n_docs") / F.col(n))
     pmi = F.log(F.col("n_docs") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    return all_.filter(log("n_entity") > 0).withColumn("disclosure", F.least(pmi / log("n_entity"), F.lit(1.0))).filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+    return pairs.filter(log("n_entity") > 0).withColumn("disclosure", F.least(pmi / log("n_entity"), F.lit(1.0))).filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, h, terms: array<struct<start, end, disclosure>> of the disclosing terms in their entities' contexts."""
-    side = F.explode(F.array(F.struct(F.col("left").alias("at"), F.col("before").alias("part")), F.struct(F.col("end").alias("at"), F.col("after").alias("part"))))
-    parts = found.select("doc_id", "h", "entity", side.alias("s")).select("doc_id", "h", "entity", "s.at", "s.part")
-    words = parts.select("doc_id", "h", "entity", "at", F.explode(spans_of(F.col("part"), TERM, F.lit(True))).alias("w"))
-    hits = words.select("doc_id", "h", "entity", (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), F.lower("w.value").alias("term")).join(terms, ["entity", "term"])
-    hits = hits.groupBy("doc_id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return hits.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, h, terms: array<struct<start, end, disclosure>> of the disclosing terms in documents that hold their entities, outside base spans."""
+    kind = "array<struct<start:bigint,end:bigint,disclosure:double>>"
+    known = found.select("doc_id", "h", "entity").distinct().join(terms, "entity").groupBy("doc_id", "h", "term").agg(F.max("disclosure").alias("disclosure"))
+    known = known.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
+    base = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("base"))
+    marked = Table(_of(known, base), "marked")
+    rows = _of(_texts(docs), hinted(marked, 8 << 20)).dropDuplicates(["doc_id", "h"])
+    gaps = F.transform(F.split("text", TERM, -1), lambda x: F.length(x).cast("long"))
+    pieces = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("value"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        disclosure = F.try_element_at(F.col("known"), F.lower(x["value"]))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), disclosure.alias("disclosure")))
+        return F.struct(end.alias("at"), F.when(disclosure.isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    hits = F.aggregate(F.filter(pieces, lambda x: x["value"].isNotNull()), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    outside = F.filter(hits, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return rows.select("doc_id", "h", outside.alias("terms")).filter(F.size("terms") > 0)
 
 
 def analysed(docs: DataFrame) -> DataFrame:
@@ -145,7 +164,7 @@ def analysed(docs: DataFrame) -> DataFrame:
     base = Table(base_spans(docs), "spans")
     found = Table(mentions(base.df), "mentions")
     terms = Table(disclosing(docs, found.df), "disclosing")
-    near = Table(term_spans(found.df, hinted(terms, 4 << 20)), "term-spans")
+    near = Table(term_spans(docs, found.df, hinted(terms, 4 << 20)), "term-spans")
     b, n = base.df.alias("b"), hinted(near, 8 << 20).alias("n")
     joined = b.join(n, F.col("b.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("b.h") == F.col("n.h")), "left")
     return joined.select("b.doc_id", "b.h", *[f"b.{k}" for k in KINDS], F.coalesce("n.terms", F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")).alias("terms"))
