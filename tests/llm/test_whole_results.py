@@ -2,7 +2,10 @@
 
 import random
 
-from tidewright.llm import pii, suffix_dedup
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+
+from tidewright.llm import pii, substring_dedup, suffix_dedup
 
 from . import brute
 from .conftest import frame
@@ -45,3 +48,17 @@ def test_pii_terms_of_a_fixed_signature_and_far_from_the_address(spark):
     assert filler in out[0] and filler in out[10]
     spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
     assert "term:0:7" in spans[10]
+
+
+def test_substring_level_treats_repeated_rows_alike():
+    window = " ".join(f"w{i}" for i in range(7))
+
+    def chunk(*rows):
+        ids, texts = zip(*rows, strict=True)
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "h": pa.array([10 * i for i in ids], pa.int64()), "text": list(texts)})
+
+    x, y = (2, f"a {window} b"), (9, f"c {window} d")
+    sent = pa.Table.from_batches([s for c in (chunk(x, y), chunk(x)) for s in substring_dedup._level([c], 7, None, False, 1)])
+    answered = substring_dedup._answers(sent, False)
+    maps = [substring_dedup._bitmaps(answered.filter(pa.compute.equal(answered.column("chunk"), c))).to_pylist() for c in set(sent.column("chunk").to_pylist())]
+    assert [r["bits"] for m in maps for r in m if r["b_id"] == 2] == [bytes([0b01000000, 0])] * 2

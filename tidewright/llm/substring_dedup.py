@@ -124,7 +124,8 @@ def _answers(table: pa.Table, last: bool, both: bool = False) -> pa.Table:
         low, high = np.minimum.reduceat(order[by], edge), np.maximum.reduceat(order[by], edge)
         yes = np.empty(len(h), bool)
         many = np.diff(np.r_[edge, len(by)])
-        shared = np.repeat(low != high, many) & ~several[by]
+        # rows of one document may meet in several chunks, of which some know more of its hash than others
+        shared = np.repeat((low != high) | np.logical_or.reduceat(several[by], edge), many) & ~several[by]
         yes[by] = order[by] > np.repeat(low, many) if last else shared
         found = [(_ANSWER, yes)]
         if both:
