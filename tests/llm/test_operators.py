@@ -1,9 +1,11 @@
+import bisect
 import collections
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as tokenizer_files
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,17 +65,39 @@ def test_tiktoken_equals_the_tokenizer_on_odd_texts():
     assert [encoder.encode_ordinary(x) for x in odd] == [e.ids for e in t.encode_batch(odd, add_special_tokens=False)]
 
 
-def test_packing_plan_is_close_to_the_bound():
+def best_fit_decreasing(lengths, capacity):
+    """The number of sequences of the serial algorithm."""
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, x)
+        if i < len(gaps):
+            left = gaps.pop(i) - x
+        else:
+            n, left = n + 1, capacity - x
+        bisect.insort(gaps, left)
+    return n
+
+
+@pytest.mark.parametrize("kind", ["any", "hot", "small", "halves", "none"])
+def test_packing_rounds_against_serial_best_fit(spark, kind):
     r = np.random.default_rng(1)
-    for counts in (np.bincount(r.integers(1, 65, 5000), minlength=65), np.bincount([64] * 7 + [1] * 100, minlength=65), np.bincount([33] * 9 + [31] * 9, minlength=65), np.zeros(65, int)):
-        placed = best_fit_packing.plan(counts, 64)
-        used = collections.Counter()
-        for length, a, b, first, k, at in placed.tolist():
-            for n in range(b - a):
-                used[first + n // k] += length
-        assert sum(b - a for _, a, b, *_ in placed.tolist()) == counts.sum()
-        assert max(used.values(), default=0) <= 64
-        assert len(used) <= 1.05 * (counts * np.arange(65)).sum() / 64 + 1
+    lengths = {"any": r.integers(1, 65, 3000), "hot": np.r_[[21] * 1500, r.integers(1, 65, 1500)], "small": np.r_[r.integers(1, 9, 2500), r.integers(40, 65, 300)], "halves": np.r_[[33] * 9, [31] * 9], "none": np.zeros(0, int)}[kind].tolist()
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "pid long, length long").repartition(4)
+    packer = best_fit_packing.Packer(items, 64, rows_per_salt=1000)
+    got = packer.run().collect()
+    used = collections.Counter()
+    for x in got:
+        used[x.sequence_id] += lengths[x.pid]
+    assert sorted(x.pid for x in got) == list(range(len(lengths))) and max(used.values(), default=0) <= 64
+    assert len(used) <= 1.03 * best_fit_decreasing(lengths, 64) + 3 and packer.rounds <= 16
+
+
+def test_sweep_takes_the_smallest_gap_and_ranks_what_is_left():
+    rows = sorted([(9, False, 90, 1), (7, True, 1, 1), (6, False, 60, 2), (6, True, 2, 1), (5, True, 3, 1), (5, True, 4, 1)], key=lambda x: (-x[0], x[1]))
+    got = [x for b in best_fit_packing.sweep([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abcd"))], 0) for x in b.to_pylist()]
+    assert [(x["id"], x["seq"]) for x in got if x["kind"] == 0] == [(1, 90), (2, 60), (3, 60)] and [(x["id"], x["at"]) for x in got if x["kind"] == 1] == [(4, 0)]
+    # gaps of part 0: ranks 0, 1; of part 1: rank 0. Part 2 wants two, part 3 two: the nearest part's gaps go first
+    assert best_fit_packing.meetings({0: (1, 2), 1: (0, 1), 2: (2, 0), 3: (2, 0)}) == [(2, 0, 1, 1, 1), (2, 1, 1, 0, 2), (3, 0, 1, 0, 1)]
 
 
 def test_packing_repeated_null_and_empty(spark, empty):

@@ -1,15 +1,19 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
-Documents become pieces of at most `capacity` tokens. All pieces are range-sorted by length (longest first) and
-ranked within their length; free space is kept as runs of sequences with equal gaps, sorted by gap. Each step matches
-the longest unplaced run of pieces with its successor, the run of the smallest gaps that hold it; where more pieces than
-gaps (or gaps than pieces) meet, ranks decide who takes which; gaps are updated and the step repeats. A run stands for
-any number of rows, so the sweep's state is bounded by the capacity, not by the data: at most capacity^2 / 2 runs. Rows
-are touched twice: once to be ranked (sorted in groups of length and salt, so a length that many pieces share is
-spread), once to look up their place.
+Documents become pieces of at most `capacity` tokens. Pieces of more than half a sequence open one each. The others are
+placed by rounds, longest size class first. A round range-sorts its pieces and the open gaps together by size, largest
+first; a sweep of a partition keeps its gaps on a stack, so the top is the successor of the piece that comes next: the
+smallest gap that still holds it. What a partition can't match by itself is matched across partitions by rank: from two
+numbers a partition (pieces left, gaps left) follows which ranks of which partitions meet, and an equi-join on
+(partition, rank) brings them together. Gaps shrink, and the class repeats until a round places nothing; then its pieces
+that no gap holds open sequences, as many to one as fit. A gap may take several pieces of a class in one round (as many
+as its largest ones would allow), so rounds don't grow with the data: they follow from the classes.
+
+A piece is written a few times as (number, length) and looked up once. The driver sees two numbers a partition and a
+count for each length. Equal lengths are spread over partitions by the pieces' numbers, new sequences over salted groups.
 
 Defined cases: null text is empty, an empty text is the closing id alone; a null doc_id is kept as null; repeated rows
-are packed separately; ties between equal lengths go by salt, doc_id, piece; an empty table gives an empty result.
+are packed separately; ties between equal sizes go by number; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,16 +21,14 @@ from __future__ import annotations
 import base64
 import math
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import Table
+from .runtime import Table, fixed, partitions
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -66,78 +68,168 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, closin
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(cut, PIECES)
 
 
-def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows (length, first rank, end rank, first sequence, pieces per sequence, offset) that place every piece.
-
-    counts[n] pieces have length n. The piece of rank r goes to sequence first + (r - first rank) // k, at offset
-    + length * ((r - first rank) % k)."""
-    runs: dict[int, list[tuple[int, int]]] = {}
-    gaps: list[int] = []
-    out: list[tuple[int, int, int, int, int, int]] = []
-    made = 0
-
-    def free(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                insort(gaps, gap)
-            runs.setdefault(gap, []).append((first, n))
-
-    for length in range(capacity, 0, -1):
-        rank, total = 0, int(counts[length])
-        while rank < total:
-            i = bisect_left(gaps, length)
-            if i < len(gaps):
-                gap = gaps[i]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[i]
+_SWEPT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("length", pa.int64()), ("seq", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("units", pa.int64())])
+_SWEPT_SQL = "kind int, id long, length long, seq long, part int, at long, units long"
+_PLACED, _PIECE, _GAP = 0, 1, 2
+#: Lengths up to this are one class.
+SMALL = 16
+
+
+def sweep(batches, part: int | None = None):
+    """Matches the sorted sizes of a partition (columns size, is_piece, id, units): each piece takes a unit of the last gap that has one.
+
+    Rows out: pieces placed; pieces left, with their rank `at`; gaps left, with the rank of their first unit."""
+    if part is None:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+    stack: list[list[int]] = []
+    left = 0
+    for batch in batches:
+        rows = []
+        for size, is_piece, i, units in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if not is_piece:
+                stack.append([i, units])
+            elif stack:
+                top = stack[-1]
+                rows.append((_PLACED, i, size, top[0], None, None, None))
+                top[1] -= 1
+                if not top[1]:
+                    stack.pop()
             else:
-                gap, first, n = capacity, made, math.ceil((total - rank) / (capacity // length))
-                made += n
-            k = gap // length
-            whole = min(n, (total - rank) // k)
-            if whole:
-                out.append((length, rank, rank + whole * k, first, k, capacity - gap))
-                rank += whole * k
-                free(gap - k * length, first, whole)
-            if whole < n:
-                rest = total - rank
-                if rest:
-                    out.append((length, rank, total, first + whole, rest, capacity - gap))
-                    rank = total
-                    free(gap - rest * length, first + whole, 1)
-                    whole += 1
-                free(gap, first + whole, n - whole)
-    return np.array(out, np.int64).reshape(-1, 6)
+                rows.append((_PIECE, i, size, None, part, left, None))
+                left += 1
+        if rows:
+            yield _swept(rows)
+    at = 0
+    for k in range(0, len(stack), 10_000):
+        rows = []
+        for seq, units in stack[k : k + 10_000]:
+            rows.append((_GAP, None, None, seq, part, at, units))
+            at += units
+        yield _swept(rows)
+
+
+def _swept(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SWEPT.types, strict=True)], schema=_SWEPT)
+
+
+def meetings(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """left[part] = (pieces, units of gaps) that a sweep left. Rows (part, first rank, pieces, part of the gaps, end): the piece of rank first + i takes the unit of rank end - 1 - i."""
+    stack: list[list[int]] = []
+    out = []
+    for part in sorted(left):
+        pieces_, units = left[part]
+        rank = 0
+        while rank < pieces_ and stack:
+            of, free = stack[-1]
+            n = min(free, pieces_ - rank)
+            out.append((part, rank, n, of, free))
+            rank += n
+            stack[-1][1] -= n
+            if not stack[-1][1]:
+                stack.pop()
+        if units:
+            stack.append([part, units])
+    return out
+
+
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """(lowest, highest) length of each class, longest first, of pieces of up to half a sequence."""
+    found, high = [], capacity // 2
+    while high > 0:
+        low = high // 2 + 1 if high > SMALL else 1
+        found.append((low, high))
+        high = low - 1
+    return found
+
+
+class Packer:
+    """The rounds. items: pid, length. `placed` has tables of pid, length, sequence_id; `rounds` counts sweeps."""
+
+    def __init__(self, items: DataFrame, capacity: int, rows_per_salt: int = 100_000):
+        self.spark, self.items, self.capacity, self.rows_per_salt = items.sparkSession, items, capacity, rows_per_salt
+        self.placed: list[Table] = []
+        self.rounds = self.openings = 0
+        self.open: Table | None = None
+
+    def run(self) -> DataFrame:
+        """pid, sequence_id of every item."""
+        counts = {r[0]: r[1] for r in self.items.groupBy("length").count().collect()}  # one number per length
+        half = self.capacity // 2
+        self._opened(self.items.filter(F.col("length") > half).withColumn("sequence_id", -F.col("pid") - 1))
+        for low, high in classes(self.capacity):
+            if any(low <= n <= high for n in counts):
+                self._place(self.items.filter(F.col("length").between(low, high)), low, high)
+        out = self.placed[0].df
+        for t in self.placed[1:]:
+            out = out.unionByName(t.df)
+        return out.select("pid", "sequence_id")
+
+    def _opened(self, rows: DataFrame) -> None:
+        """Places rows (pid, length, sequence_id) in new sequences."""
+        t = Table(rows.select("pid", "length", "sequence_id"), "packed")
+        self.placed.append(t)
+        gaps = t.df.groupBy("sequence_id").agg((F.lit(self.capacity) - F.sum("length")).alias("gap")).filter("gap > 0")
+        before, self.open = self.open, Table(gaps if self.open is None else self.open.df.unionByName(gaps), "gaps")
+        if before is not None:
+            before.drop()
+
+    def _place(self, left: DataFrame, low: int, high: int) -> None:
+        held: Table | None = None
+        while True:
+            swept, segments = self._sweep(left, low, high)
+            over = held
+            pieces_ = swept.df.filter(F.col("kind") == _PIECE).select("id", "length", "part", "at")
+            seg = F.broadcast(self.spark.createDataFrame(segments, "p int, first long, n long, of int, end long"))  # a few rows a partition
+            meets = pieces_.join(seg, (F.col("part") == F.col("p")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("n")), "left")
+            meets = meets.withColumn("unit", F.col("end") - 1 - (F.col("at") - F.col("first")))
+            gaps = swept.df.filter(F.col("kind") == _GAP).select("seq", F.col("part").alias("g_part"), F.col("at").alias("g_at"), "units")
+            used = gaps.join(seg, (F.col("g_part") == F.col("of")) & (F.col("g_at") < F.col("end")) & (F.col("g_at") + F.col("units") > F.col("end") - F.col("n")))
+            used = used.select("g_part", "seq", F.explode(F.sequence(F.greatest("g_at", F.col("end") - F.col("n")), F.least(F.col("g_at") + F.col("units"), "end") - 1)).alias("g_unit"))
+            across = meets.filter("unit IS NOT NULL").join(used, (F.col("of") == F.col("g_part")) & (F.col("unit") == F.col("g_unit"))).select(F.col("id").alias("pid"), "length", F.col("seq").alias("sequence_id"))
+            within = swept.df.filter(F.col("kind") == _PLACED).select(F.col("id").alias("pid"), "length", F.col("seq").alias("sequence_id"))
+            now = Table(within.unionByName(across), "packed")
+            self.placed.append(now)
+            held = Table(meets.filter("unit IS NULL").select(F.col("id").alias("pid"), "length"), "unplaced")
+            swept.drop()
+            if over is not None:
+                over.drop()
+            taken = now.df.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
+            before, self.open = self.open, Table(self.open.df.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).filter("gap > 0"), "gaps")
+            before.drop()
+            rest = held.df.count()
+            if not rest:
+                break
+            if not now.df.limit(1).count():
+                self._open_for(held.df, rest)
+                break
+            left = held.df
+        held.drop()
+
+    def _sweep(self, left: DataFrame, low: int, high: int) -> tuple[Table, list[tuple]]:
+        self.rounds += 1
+        wanted = left.select(F.col("length").alias("size"), F.lit(True).alias("is_piece"), F.col("pid").alias("id"), F.lit(1).cast("long").alias("units"))
+        gaps = self.open.df.filter(F.col("gap") >= low).select(F.col("gap").alias("size"), F.lit(False).alias("is_piece"), F.col("sequence_id").alias("id"), F.greatest(F.lit(1), F.floor(F.col("gap") / high)).cast("long").alias("units"))
+        order = (F.desc("size"), F.asc("is_piece"), F.asc("id"))
+        both = wanted.unionByName(gaps).repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order)
+        swept = Table(both.mapInArrow(fixed(sweep), _SWEPT_SQL), "swept")
+        ends = swept.df.filter(F.col("kind") != _PLACED).groupBy("part").agg(F.count(F.when(F.col("kind") == _PIECE, 1)).alias("pieces"), F.coalesce(F.sum("units"), F.lit(0)).alias("units")).collect()
+        return swept, meetings({r[0]: (r[1], r[2]) for r in ends})
+
+    def _open_for(self, rows: DataFrame, count: int) -> None:
+        """Opens sequences, with as many pieces of about one length each as fit."""
+        self.openings += 1
+        salts = max(1, math.ceil(count / self.rows_per_salt))
+        each = rows.withColumn("each", F.floor(F.lit(self.capacity) / F.col("length"))).withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(salts)))
+        nth = F.row_number().over(Window.partitionBy("each", "salt").orderBy(F.desc("length"), "pid")) - 1
+        ids = F.lit(self.openings << 56).cast("long") + F.col("each") * (1 << 44) + F.col("salt") * (1 << 24) + F.floor(nth / F.col("each"))
+        self._opened(each.withColumn("sequence_id", ids.cast("long")))
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, closing_id: int = 2, rows_per_salt: int = 100_000) -> DataFrame:
     """Columns of `pieces` and sequence_id, offset. The tokenised pieces are written to the shared folder first."""
-    spark = docs.sparkSession
-    table = Table(pieces(docs, ranks_path, pattern, capacity, closing_id), "pieces")
-    total = table.df.count()
-    salts = max(64, math.ceil(total / rows_per_salt))
-    salted = table.df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    held = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    held = held.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    held = held.select(F.col("length").alias("l_"), F.col("salt").alias("s_"), F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = salted.withColumn("local", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(held, (F.col("length") == F.col("l_")) & (F.col("salt") == F.col("s_"))).withColumn("rank", F.col("before") + F.col("local"))
-
-    counts = np.zeros(capacity + 1, np.int64)  # one number per length
-    for length, n in table.df.groupBy("length").count().collect():
-        counts[length] = n
-    placed = spark.sparkContext.broadcast(plan(counts, capacity))
-
-    def place(frames):
-        p = placed.value
-        key = (p[:, 0] << 44) + p[:, 1]
-        order = np.argsort(key)
-        p, key = p[order], key[order]
-        for f in frames:
-            length, rank = f["length"].to_numpy(np.int64), f["rank"].to_numpy(np.int64)
-            at = p[np.searchsorted(key, (length << 44) + rank, "right") - 1] if len(f) else p[:0]
-            in_run = rank - at[:, 1]
-            yield f.drop(columns="rank").assign(sequence_id=at[:, 3] + in_run // at[:, 4], offset=at[:, 5] + length * (in_run % at[:, 4])) if len(f) else pd.DataFrame(columns=[*f.columns[:-1], "sequence_id", "offset"])
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    table = Table(pieces(docs, ranks_path, pattern, capacity, closing_id).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    found = Packer(table.df.select("pid", "length"), capacity, rows_per_salt).run()
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
+    return table.df.join(found, "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
