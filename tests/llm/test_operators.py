@@ -130,12 +130,19 @@ def test_counting_quotient_filter_is_lossless():
     a, b = (r.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(2))
     b[:50] = a[:50]
     a[100:110] = a[100]
-    one, two = exact_dedup.CountingQuotientFilter.of(a), exact_dedup.CountingQuotientFilter.of(b)
+    one, two = exact_dedup.CountingQuotientFilter.of(a), exact_dedup.CountingQuotientFilter.of(b[:90])
     both = one.merge(two)
-    values, counts = np.unique(np.concatenate([a, b]), return_counts=True)
-    assert (both.fingerprints() == values).all() and (both.count == counts).all()
-    parts = [exact_dedup._from_cut(c) for _, c in both.cuts(3)]
-    assert (np.concatenate([p[0] for p in parts]) == values).all() and (np.concatenate([p[1] for p in parts]) == counts).all()
+    values, counts = np.unique(np.concatenate([a, b[:90]]), return_counts=True)
+    assert one.bits != two.bits and (both.fingerprints() == values).all() and (both.count == counts).all()
+    assert (two.merge(one).fingerprints() == values).all()
+    hot = np.repeat(a[:3], 400)  # counts and runs beyond a byte
+    ranges = collections.defaultdict(list)
+    for part in (a, b, hot, hot):
+        for f in exact_dedup.filters(part, 3):
+            ranges[f.range].append(exact_dedup.CountingQuotientFilter.from_bytes(f.to_bytes()))
+    found = [exact_dedup.merged(ranges[k]) for k in sorted(ranges)]
+    values, counts = np.unique(np.concatenate([a, b, hot, hot]), return_counts=True)
+    assert (np.concatenate([f.fingerprints() for f in found]) == values).all() and (np.concatenate([f.count for f in found]) == counts).all()
 
 
 # substrings

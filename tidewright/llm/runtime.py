@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.iterate import work_dir
 
-#: Largest table, in bytes as written, that an operator may broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 48 << 20
+#: Largest table, in bytes of memory, that an operator may broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -45,9 +46,35 @@ class Table:
         delete(self.spark, self.path)
 
 
+def memory_bytes(df: DataFrame) -> int:
+    """About the memory that the rows take: 8 bytes and the content's length for each value."""
+
+    def width(c: str, kind: T.DataType):
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            fields = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
+            return F.greatest(F.size(F.col(f"`{c}`")), F.lit(0)) * (16 + 8 * fields) + 24
+        return F.lit(8)
+
+    each = sum((width(f.name, f.dataType).cast("long") for f in df.schema.fields), F.lit(16).cast("long"))
+    return df.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+
+
 def hinted(table: Table, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The table, broadcast if its measured size is under the limit, else left to a shuffle join."""
-    return F.broadcast(table.df) if table.bytes <= limit else table.df
+    """The table, broadcast if both its written size and the memory that its rows take are under the limit, else left to a shuffle join."""
+    return F.broadcast(table.df) if table.bytes <= limit and memory_bytes(table.df) <= limit else table.df
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def fixed(f, *rest):
@@ -68,6 +95,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return found if found < 1 << 60 else 0
 
 
-def bucket_count(df: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """Buckets of a packed exchange: a few per shuffle partition, and enough that each stays small at any input size."""
-    return max(4 * partitions(df.sparkSession), math.ceil(4 * estimated_bytes(df) / bytes_each))
+def text_bytes(df: DataFrame, column: str) -> int:
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0))).first()[0]
+
+
+def bucket_count(df: DataFrame, bytes_each: int = 64 << 20, column: str = "text") -> int:
+    """Buckets of a packed exchange: a few per shuffle partition, and enough that each stays small at any input size. Without an estimate the texts are measured."""
+    size = 4 * estimated_bytes(df) or 2 * text_bytes(df, column)
+    return max(4 * partitions(df.sparkSession), math.ceil(size / bytes_each))
