@@ -1,5 +1,6 @@
 import bisect
 import collections
+import uuid
 import zlib
 from fractions import Fraction
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import best_fit_packing, byte_bpe, components, exact_dedup, ngram_join, pii, quality, sharding, substring_dedup, suffix_dedup, topk_search
+from tidewright.llm import best_fit_packing, byte_bpe, components, exact_dedup, ngram_join, pii, quality, queries, sharding, substring_dedup, suffix_dedup, topk_search
 from tidewright.llm.runtime import work_dir
 
 from . import brute
@@ -275,26 +276,64 @@ def test_bpe_empty(empty):
 # sharding
 
 
-def test_sharding(spark, docs, empty):
-    import uuid
+def shard_store(spark, **options):
+    return sharding.ShardStore(spark, f"{work_dir(spark)}/test-{uuid.uuid4().hex}", **{"target_bytes": 1 << 20, "fanout": 3, "smallest": 1 << 10, **options})
+
+
+def folders(store):
+    return [s.getPath().getName() for s in store._fs.listStatus(store._path(f"{store.root}/runs"))]
 
-    store = sharding.ShardStore(spark, f"{work_dir(spark)}/test-{uuid.uuid4().hex}", target_bytes=1 << 20, fanout=3, smallest=1 << 10)
-    assert store.append(empty) == 1 and store.read().count() == 0
+
+def test_sharding(spark, docs, empty):
+    store = shard_store(spark)
+    assert store.append(empty) == 1 and store.read().count() == 0 and store.placed("doc_id").count() == 0
+    assert store.append(empty.withColumn("feed", F.lit(1)), by="feed") == 2 and store.read().columns == docs.columns and store.placed("doc_id").count() == 0
     for _ in range(2):
         store.append(docs)
-    assert store.append(docs.withColumn("feed", F.pmod("doc_id", F.lit(5))), by="feed") == 4
+    assert store.append(docs.withColumn("feed", F.pmod("doc_id", F.lit(5))), by="feed") == 5
     before = sorted(map(str, docs.union(docs).union(docs).collect()))
-    old = store.manifest()
+    old, reader = store.manifest(), store.read()
     assert sorted(map(str, store.read().collect())) == before
-    store.compact(keep_versions=2)
+    store.compact()
     new = store.manifest()
     assert new["version"] > old["version"] and len(new["runs"]) < len(old["runs"])
+    assert sorted(map(str, reader.collect())) == before  # a reader keeps its version during compaction
     assert sorted(map(str, store.read().collect())) == before and sum(r["rows"] for r in new["runs"]) == len(before)
     tiers = collections.Counter(store.tier(r["bytes"]) for r in new["runs"])
     assert max(tiers.values()) < 3
     with pytest.raises(sharding.Conflict):
         store.commit(new)
     assert store.placed("doc_id").count() == len(before)
+    store.vacuum()
+    assert store.versions()[0] == 1  # nothing is old enough
+    docs.write.parquet(f"{store.root}/runs/orphan")  # a writer died before its commit
+    store.vacuum(retain_seconds=0)
+    assert store.versions() == [new["version"]] and set(folders(store)) == {r["path"].split("/")[1] for r in new["runs"]}
+    assert sorted(map(str, store.read().collect())) == before
+
+
+def test_sharding_lost_race_and_clashing_names(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "x", 2, "m"), (2, None, 3, "n")], "doc_id long, text string, arrival int, _metadata string")
+    store = shard_store(spark)
+    store.append(rows.withColumn("feed", F.col("doc_id")), by="feed")
+    assert sorted(map(tuple, store.read().collect())) == [(1, "x", 2, "m"), (2, None, 3, "n")]
+    assert sorted((r.doc_id, "feed=" in r.shard, r.shard_bytes > 0) for r in store.placed("doc_id").collect()) == [(1, True, True), (2, True, True)]
+    stale, kept = store.manifest(), folders(store)
+    store.append(rows.limit(0))
+    monkeypatch.setattr(store, "manifest", lambda version=None: stale)
+    with pytest.raises(sharding.Conflict):
+        store.append(rows)
+    assert set(kept) <= set(folders(store)) and len(folders(store)) == len(kept) + 1  # the empty arrival's, not the lost one's
+
+
+def test_sharding_query_on_odd_tables(spark, docs, empty, tmp_path):
+    long_text = "word " * 400_000
+    odd = docs.withColumn("arrival", F.lit(7)).withColumn("_metadata", F.lit("x")).unionByName(frame(spark, [(10**6, long_text), (10**6, long_text)]).withColumn("arrival", F.lit(7)).withColumn("_metadata", F.lit("x")))
+    for name, df in (("odd", odd), ("none", empty)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = queries.op7_sharding(spark, f"{tmp_path}/{name}")
+        assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in df.select("doc_id").collect())
+    assert got.count() == 0
 
 
 # quality

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import best_fit_packing, byte_bpe, exact_dedup, ngram_join, pii, quality, sharding, substring_dedup, suffix_dedup, topk_search
-from .runtime import work_dir
+from .runtime import fresh, work_dir
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source delivers its documents to one of 16 feeds; every feed is an arrival."""
+    """Each source delivers its documents to one of 16 feeds; every feed is an arrival. Nobody else reads this store, so replaced files go at once."""
     store = sharding.ShardStore(spark, f"{work_dir(spark)}/store-{uuid.uuid4().hex}")
-    store.append(_docs(spark, sf_dir).withColumn("arrival", F.pmod(F.xxhash64("source"), F.lit(16))), by="arrival")
-    store.compact()
+    docs = _docs(spark, sf_dir)
+    (feed,) = fresh(docs, "arrival")
+    store.append(docs.withColumn(feed, F.pmod(F.xxhash64("source"), F.lit(16))), by=feed)
+    store.compact(retain_seconds=0)
     return store.placed("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -3,7 +3,8 @@
 Arrivals are written once, as runs of small immutable Parquet shards. Runs of similar size (one tier: sizes within a
 factor of `fanout`) are merged as soon as a tier holds `fanout` of them, into shards of about the target size; a merged
 run then belongs to a higher tier, so a byte is rewritten about log(total / arrival) times. Every change becomes visible
-by one atomic rename of a new manifest, which fails if that version already exists; readers see one whole version.
+by one atomic rename of a new manifest, which fails if that version already exists; readers see one whole version, and
+keep its files until a `vacuum` whose age they have passed.
 Merging only concatenates, so it needs no shuffle: each output shard is one task over whole input files.
 
 DataFrame operations only; the driver handles paths, sizes and manifests.
@@ -16,10 +17,12 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .runtime import delete, table_bytes
 
@@ -83,14 +86,23 @@ class ShardStore:
         writer = arrivals.write.partitionBy(by) if by else arrivals.write
         writer.parquet(f"{self.root}/{path}")
         if by:
-            counts = {(str(v) if v is not None else None): n for v, n in self.spark.read.parquet(f"{self.root}/{path}").groupBy(F.col(by).cast("string")).count().collect()}  # one row per arrival
+            # the schema is given, as a write of no rows leaves no file to infer it from
+            counts = {(str(v) if v is not None else None): n for v, n in self.spark.read.schema(arrivals.schema).parquet(f"{self.root}/{path}").groupBy(F.col(f"`{by}`").cast("string")).count().collect()}  # one row per arrival
             found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{path}")) if s.isDirectory()]
             value = lambda n: None if n.endswith("__HIVE_DEFAULT_PARTITION__") else n.split("=", 1)[1]
             new = [self._run(f"{path}/{n}", counts[value(n)], [n]) for n in sorted(found)]
         else:
             rows = self.spark.read.schema(schema).parquet(f"{self.root}/{path}").count()
             new = [self._run(path, rows, [path])] if rows else []
-        return self.commit({"version": now["version"] + 1, "schema": schema.json(), "runs": now["runs"] + new})
+        return self._committed({"version": now["version"] + 1, "schema": schema.json(), "runs": now["runs"] + new}, path)
+
+    def _committed(self, manifest: dict, path: str) -> int:
+        """Commits; a lost race leaves nothing of the run behind."""
+        try:
+            return self.commit(manifest)
+        except Conflict:
+            delete(self.spark, f"{self.root}/{path}")
+            raise
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.smallest, self.fanout)))
@@ -103,38 +115,61 @@ class ShardStore:
         full = [t for t in sorted(tiers) if len(tiers[t]) >= self.fanout]
         return sorted(tiers[full[0]], key=lambda r: (r["bytes"], r["path"])) if full else []
 
-    def compact(self, keep_versions: int = 1) -> int:
-        """Merges until no tier is full; each merge is one commit, after which older versions' files may go."""
+    def compact(self, retain_seconds: float | None = None) -> int:
+        """Merges until no tier is full; each merge is one commit. Files of older versions stay for their readers, unless
+        `retain_seconds` says how long: then `vacuum` runs after each merge."""
         while runs := self.due((now := self.manifest())["runs"]):
             size = sum(r["bytes"] for r in runs)
             path = f"runs/{uuid.uuid4().hex}"
             self._read(now, runs).coalesce(max(1, round(size / self.target))).write.parquet(f"{self.root}/{path}")
             merged = self._run(path, sum(r["rows"] for r in runs), [x for r in runs for x in r["from"]])
             gone = {r["path"] for r in runs}
-            self.commit({"version": now["version"] + 1, "schema": now["schema"], "runs": [r for r in now["runs"] if r["path"] not in gone] + [merged]})
-            self.vacuum(keep_versions)
+            self._committed({"version": now["version"] + 1, "schema": now["schema"], "runs": [r for r in now["runs"] if r["path"] not in gone] + [merged]}, path)
+            if retain_seconds is not None:
+                self.vacuum(retain_seconds=retain_seconds)
         return self.manifest()["version"]
 
-    def vacuum(self, keep_versions: int = 1) -> None:
-        """Deletes all but the last versions, and the runs that only those named."""
+    def vacuum(self, keep_versions: int = 1, retain_seconds: float = 3600) -> None:
+        """Deletes versions older than `retain_seconds` but the last `keep_versions`, and runs of that age that no version left names: also those of writers that died before their commit. A reader or an uncommitted writer has that long."""
+        before = time.time() - retain_seconds
         found = self.versions()
-        old, kept = found[:-keep_versions], found[-keep_versions:]
-        used = {r["path"] for v in kept for r in self.manifest(v)["runs"]}
+        # a version is in use until the next one is made, so its age counts from there
+        old = [v for v, after in zip(found, found[1:], strict=False) if self._made(f"manifests/{after:012d}.json") <= before][: max(0, len(found) - keep_versions)]
         for v in old:
-            for r in self.manifest(v)["runs"]:
-                if r["path"] not in used:
-                    delete(self.spark, f"{self.root}/{r['path']}")
             delete(self.spark, f"{self.root}/manifests/{v:012d}.json")
+        named = {r["path"] for v in self.versions() for r in self.manifest(v)["runs"]}
+        folders = {p.split("/")[1] for p in named}
+        runs = self._path(f"{self.root}/runs")
+        for s in self._fs.listStatus(runs) if self._fs.exists(runs) else []:
+            name = s.getPath().getName()
+            if name not in folders and s.getModificationTime() / 1000 <= before:
+                delete(self.spark, f"{self.root}/runs/{name}")
+            elif any(p.startswith(f"runs/{name}/") for p in named):  # a folder of several runs
+                for part in self._fs.listStatus(s.getPath()):
+                    if part.isDirectory() and f"runs/{name}/{part.getPath().getName()}" not in named and part.getModificationTime() / 1000 <= before:
+                        delete(self.spark, f"{self.root}/runs/{name}/{part.getPath().getName()}")
+
+    def _made(self, path: str) -> float:
+        return self._fs.getFileStatus(self._path(f"{self.root}/{path}")).getModificationTime() / 1000
 
     # reading
 
-    def _read(self, manifest: dict, runs: list[dict]) -> DataFrame:
-        from pyspark.sql.types import StructType
+    def _files(self, manifest: dict, runs: list[dict]) -> DataFrame:
+        """The runs' files, or an empty folder's if there are none."""
+        paths = [f"{self.root}/{r['path']}" for r in runs]
+        if not paths:
+            paths = [f"{self.root}/empty"]
+            self._fs.mkdirs(self._path(paths[0]))
+        return self.spark.read.schema(self._schema(manifest)).parquet(*paths)
 
-        schema = StructType.fromJson(json.loads(manifest["schema"]))
+    @staticmethod
+    def _schema(manifest: dict) -> StructType:
+        return StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else StructType([])
+
+    def _read(self, manifest: dict, runs: list[dict]) -> DataFrame:
         if not runs:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{r['path']}" for r in runs]).select(*[F.col(f"`{c}`") for c in schema.names])
+            return self.spark.createDataFrame([], self._schema(manifest))
+        return self._files(manifest, runs).select(*[F.col(f"`{c}`") for c in self._schema(manifest).names])
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -143,8 +178,6 @@ class ShardStore:
     def placed(self, *columns: str) -> DataFrame:
         """The named columns with each row's shard, the shard's bytes and the version read."""
         m = self.manifest()
-        from pyspark.sql.types import StructType
-
-        schema = StructType.fromJson(json.loads(m["schema"]))
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{r['path']}" for r in m["runs"]])
-        return rows.select(*columns, F.element_at(F.split("_metadata.file_path", "/runs/"), -1).alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(m["version"]).cast("long").alias("version"))
+        rows = self._files(m, m["runs"])
+        file = rows.metadataColumn("_metadata")  # the files' own, also where a column has that name
+        return rows.select(*columns, F.element_at(F.split(file["file_path"], "/runs/"), -1).alias("shard"), file["file_size"].alias("shard_bytes"), F.lit(m["version"]).cast("long").alias("version"))
