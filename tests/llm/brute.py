@@ -101,3 +101,37 @@ def personal(text):
         if 8 <= len(digits(m[0])) <= 15:
             found.append(("phone", *m.span()))
     return found
+
+
+def disclosing(rows, support=3, threshold=0.9):
+    """{(doc_id, start, end)} of terms, and {(entity, term): disclosure}, from whole documents."""
+    import math
+
+    held, words_of, n = collections.defaultdict(set), {}, len(rows)
+    for i, t in rows:
+        t = t or ""
+        words_of[i] = {w.lower() for w in re.findall(r"[^\W_]+", t)}
+        for kind, a, b in personal(t):
+            held[f"{kind}:{t[a:b].lower()}"].add(i)
+    texts, docs_of = dict(rows), collections.defaultdict(set)
+    for i, w in words_of.items():
+        for x in w:
+            docs_of[x].add(i)
+    found = {}
+    for e, ids in held.items():
+        for x in set().union(*(words_of[i] for i in ids)):
+            both = ids & docs_of[x]
+            if len({texts[i] for i in both}) >= support and len(ids) < n:
+                d = min(1.0, math.log(n * len(both) / (len(docs_of[x]) * len(ids))) / math.log(n / len(ids)))
+                if d >= threshold:
+                    found[e, x] = d
+    spans = set()
+    for i, t in rows:
+        t = t or ""
+        base = personal(t)
+        masked = list(t)
+        for _, a, b in base:
+            masked[a:b] = "\n" * (b - a)
+        own = {f"{k}:{t[a:b].lower()}" for k, a, b in base}
+        spans |= {(i, m.start(), m.end()) for m in re.finditer(r"[^\W_]+", "".join(masked)) if any((e, m[0].lower()) in found for e in own)}
+    return spans, found

@@ -62,3 +62,36 @@ def test_substring_level_treats_repeated_rows_alike():
     answered = substring_dedup._answers(sent, False)
     maps = [substring_dedup._bitmaps(answered.filter(pa.compute.equal(answered.column("chunk"), c))).to_pylist() for c in set(sent.column("chunk").to_pylist())]
     assert [r["bits"] for m in maps for r in m if r["b_id"] == 2] == [bytes([0b01000000, 0])] * 2
+
+
+def test_pii_terms_equal_brute_force(spark):
+    r = random.Random(5)
+    names, rows = ["Vintar", "Q", "Osk99", "Melba" * 12, "and"], []
+    for i in range(160):
+        words = [f"w{r.randrange(300)}" for _ in range(r.randrange(5, 40))]
+        if i % 4 == 0:
+            k = r.randrange(4)
+            for x in (names[k], f"{names[k].lower()[:5]}@host{k}.example", f"10.0.0.{k}", f"+1 555 010 {1000 + k}"):
+                words.insert(r.randrange(len(words)), x)
+        words.insert(0, names[4] if i % 3 else f"x{i}@y.example{names[0]}")
+        rows.append((i, " ".join(words)))
+    rows.append((500, None))
+    spans, found = brute.disclosing(rows)
+    got = {x.doc_id: x.spans for x in pii.report(frame(spark, rows)).collect()}
+    assert spans and {(i, int(a), int(b)) for i, s in got.items() for kind, a, b in (x.split(":") for x in s.split(",") if s) if kind == "term"} == spans
+    mentions = pii.mentions(pii.base_spans(frame(spark, rows)))
+    scored = {(x.entity, x.term): x.disclosure for x in pii.disclosing(frame(spark, rows), mentions).collect()}
+    assert scored.keys() == found.keys() and all(abs(scored[k] - found[k]) < 1e-9 for k in found)
+
+
+def test_pii_of_very_many_spans_in_one_text(spark):
+    import time
+
+    text = " ".join(f"u{i}@h.example \U0001f600 10.1.{i % 256}.{i // 256 % 256}" for i in range(50_000))  # 100,000 spans
+    started = time.time()
+    got = pii.report(frame(spark, [(1, text), (2, "plain")], 1)).collect()
+    assert {x.doc_id: (x.n_email, x.n_ip) for x in got} == {1: (50_000, 50_000), 2: (0, 0)}
+    assert {x.base_sha256 for x in got if x.doc_id == 1} == {brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in brute.personal(text)))}
+    out = {x.doc_id: x.text for x in pii.redacted(frame(spark, [(1, text), (2, "plain")], 1)).collect()}
+    assert out == {1: " ".join("<EMAIL> \U0001f600 <IP>" for _ in range(50_000)), 2: "plain"}
+    print("seconds", time.time() - started)

@@ -7,8 +7,9 @@ documents as the events; a term that occurs with the entity only has disclosure
 are generalised to a placeholder, and those at or above `remove` are removed. A term must stand in `support` different
 texts with the entity, so copies of one text reveal nothing by themselves.
 
-DataFrame operations only. A pattern's positions come from the lengths of what it matches and of the pieces that a split
-by it leaves. The patterns use possessive loops, whose matching needs no stack, and start only where a run of their
+DataFrame operations only. A pattern's places come from the lengths of what it matches and of the pieces that a split
+by it leaves, added up block by block; texts are put together again from blocks too, so a text's spans cost little more
+than their number. The patterns use possessive loops, whose matching needs no stack, and start only where a run of their
 first characters starts or the last match ended, so long runs cost no more than their length.
 
 Defined cases: null text is empty, has no spans and, in `redacted`, stays null; repeated rows get equal results; without
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Table, hinted
+from .runtime import Table, fresh, hinted
 
 # Kinds in the order of results, and their patterns.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -32,10 +33,13 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
 
+#: Different texts that a term and an entity must share; 1 assesses every pair.
 SUPPORT = 3
+#: Shares of an entity's information from which a term is generalised, or removed.
 GENERALISE = 0.9
 REMOVE = 1.0
-TERM = r"[\p{L}\p{N}]{3,40}"
+#: A term: a run of letters and digits of any length.
+TERM = r"[\p{L}\p{N}]++"
 
 
 def _digits(c: Column) -> Column:
@@ -58,20 +62,84 @@ def _hint(kind: str, text: Column) -> Column:
     return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}[kind]
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once: inside a lambda an expression would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running(values: Column, kind: str = "bigint", combine=lambda a, b: a + b, start=0) -> Column:
+    """array: the inclusive running combination of an array. Built block by block, as adding to an array copies it: n^1.5 steps for n values."""
+
+    def scan(items: Column) -> Column:
+        first = F.struct(F.lit(start).cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            now = combine(acc["at"], x)
+            return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(items, first, step, lambda acc: acc["out"])
+
+    def shifted(blocks: Column) -> Column:
+        before = F.concat(F.array(F.lit(start).cast(kind)), scan(F.transform(blocks, lambda b: F.element_at(b, -1))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, e: F.transform(b, lambda x: combine(x, e))))
+
+    def cut_up(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: scan(F.slice(v, k * size + 1, size))), shifted)
+
+    return let(values, lambda v: F.when(F.size(v) > 0, cut_up(v)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>> of all the pattern's matches, in code points."""
+    pieces = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long")).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    ended = lambda p: running(F.transform(p, lambda x: x["gap"] + F.length(x["value"])))
+    placed = lambda p: F.zip_with(p, ended(p), lambda x, e: F.struct((e - F.length(x["value"])).alias("start"), e.alias("end"), x["value"].alias("value")))
+    return let(F.filter(pieces, lambda x: x["value"].isNotNull()), placed)
+
+
 def spans_of(text: Column, pattern: str, hint: Column) -> Column:
-    """array<struct<start, end, value>> of the pattern's matches, in code points."""
-    kind = "array<struct<start:bigint,end:bigint,value:string>>"
-    found, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.arrays_zip(F.transform(rest, lambda x: F.length(x).cast("long")).alias("gap"), found.alias("value"))
+    return F.when(hint, places(text, pattern)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
+
+
+#: Code points of a text that are looked up together.
+_BLOCK = 1024
+
+
+def blocks_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    walked = F.aggregate(F.filter(lengths, lambda x: x["value"].isNotNull()), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    return F.when(hint, walked).otherwise(F.array().cast(kind))
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start up to end of a text given by its blocks, reading only the blocks that hold them."""
+    low, high = F.floor(start / _BLOCK).cast("int"), F.floor((end - 1) / _BLOCK).cast("int")
+
+    def part(k: Column) -> Column:
+        a = F.greatest(start - k * _BLOCK, F.lit(0))
+        return F.substring(F.get(blocks, k), (a + 1).cast("int"), (F.least(end - k * _BLOCK, F.lit(_BLOCK)) - a).cast("int"))
+
+    return F.when(end > start, F.array_join(F.transform(F.sequence(low, F.greatest(low, high)), part), "")).otherwise("")
+
+
+def _between(text: Column, spans: Column, put) -> Column:
+    """The text with each span (sorted by start) replaced by put(span, end of what earlier spans cover), and what lies between kept."""
+
+    def made(blocks: Column, before: Column) -> Column:
+        parts = F.zip_with(spans, F.slice(before, 1, F.size(spans)), lambda s, at: F.concat(cut(blocks, at, s["start"]), put(s, at)))
+        return F.concat(F.array_join(parts, ""), cut(blocks, F.element_at(before, -1), F.length(text).cast("long")))
+
+    ends = F.concat(F.array(F.lit(0).cast("long")), running(F.transform(spans, lambda s: s["end"]), combine=F.greatest))
+    return let(blocks_of(text), lambda blocks: let(ends, lambda before: made(blocks, before)))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with each span (start, end, put) replaced; overlaps take the first one's replacement."""
+    return _between(text, spans, lambda s, at: F.when(s["start"] >= at, s["put"]).otherwise(""))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with what spans cover replaced by as many line ends, so that places stay."""
+    return _between(text, spans, lambda s, at: F.repeat(F.lit("\n"), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)).cast("int")))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -122,14 +190,14 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, genera
     entities = entities.filter("n_entity > 0").join(total).select("entity", "n_entity", "n_docs", most.alias("most"))
     held = Table(holders.join(entities, "entity"), "holders")
     keys = Table(held.df.select("doc_id", "h").distinct(), "holding")
-    near = Table(_of(_texts(docs), hinted(keys, 8 << 20)).select("doc_id", "h", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).distinct(), "near")
+    near = Table(_of(_texts(docs), hinted(keys, 32 << 20)).select("doc_id", "h", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).distinct(), "near")
     limit = F.broadcast(held.df.agg(F.max("most").alias("limit")))  # one row
     often = near.df.groupBy("term").agg(F.count_distinct("h").alias("texts"), F.count_distinct("doc_id").alias("at_least")).filter(F.col("texts") >= support)
     wanted = Table(often.join(limit).filter("at_least <= limit").select("term"), "terms")
     everywhere = docs.select(F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term"))
-    n_term = everywhere.join(hinted(wanted, 4 << 20), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = everywhere.join(hinted(wanted, 32 << 20), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     rare = Table(n_term.join(limit).filter("n_term <= limit").drop("limit"), "rare")
-    both = _of(near.df.join(hinted(rare, 4 << 20), "term"), held.df).filter("n_term <= most")
+    both = _of(near.df.join(hinted(rare, 32 << 20), "term"), held.df).filter("n_term <= most")
     pairs = both.groupBy("entity", "term", "n_term", "n_entity", "n_docs").agg(F.count_distinct("doc_id").alias("n_both"), F.count_distinct("h").alias("texts")).filter(F.col("texts") >= support)
     log = lambda n: F.log(F.col("n_docs") / F.col(n))
     pmi = F.log(F.col("n_docs") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
@@ -137,26 +205,16 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, genera
 
 
 def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, h, terms: array<struct<start, end, disclosure>> of the disclosing terms in documents that hold their entities, outside base spans."""
-    kind = "array<struct<start:bigint,end:bigint,disclosure:double>>"
+    """doc_id, h, terms: array<struct<start, end, disclosure>> of the disclosing terms in documents that hold their entities, outside base spans (of a word that a base span cuts, what is left of it counts)."""
     known = found.select("doc_id", "h", "entity").distinct().join(terms, "entity").groupBy("doc_id", "h", "term").agg(F.max("disclosure").alias("disclosure"))
-    known = known.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
-    base = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("base"))
-    marked = Table(_of(known, base), "marked")
-    rows = _of(_texts(docs), hinted(marked, 8 << 20)).dropDuplicates(["doc_id", "h"])
-    gaps = F.transform(F.split("text", TERM, -1), lambda x: F.length(x).cast("long"))
-    pieces = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("value"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        disclosure = F.try_element_at(F.col("known"), F.lower(x["value"]))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), disclosure.alias("disclosure")))
-        return F.struct(end.alias("at"), F.when(disclosure.isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    hits = F.aggregate(F.filter(pieces, lambda x: x["value"].isNotNull()), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    outside = F.filter(hits, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows.select("doc_id", "h", outside.alias("terms")).filter(F.size("terms") > 0)
+    known = Table(known, "known")
+    base = found.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("base"))  # a text's own spans
+    marked = Table(_of(base, known.df.select("doc_id", "h").distinct()), "marked")
+    rows = _of(_texts(docs), hinted(marked, 32 << 20)).dropDuplicates(["doc_id", "h"])
+    outside = Table(rows.select("doc_id", "h", F.explode(places(blanked(F.col("text"), F.col("base")), TERM)).alias("m")).select("doc_id", "h", "m.start", "m.end", F.lower("m.value").alias("term")), "words")
+    k = hinted(known, 32 << 20).withColumnsRenamed({"doc_id": "_id", "h": "_h", "term": "_term"})
+    hits = outside.df.join(k, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("term") == F.col("_term")))
+    return hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))  # a text's own words
 
 
 def analysed(docs: DataFrame) -> DataFrame:
@@ -164,8 +222,8 @@ def analysed(docs: DataFrame) -> DataFrame:
     base = Table(base_spans(docs), "spans")
     found = Table(mentions(base.df), "mentions")
     terms = Table(disclosing(docs, found.df), "disclosing")
-    near = Table(term_spans(docs, found.df, hinted(terms, 4 << 20)), "term-spans")
-    b, n = base.df.alias("b"), hinted(near, 8 << 20).alias("n")
+    near = Table(term_spans(docs, found.df, hinted(terms, 32 << 20)), "term-spans")
+    b, n = base.df.alias("b"), hinted(near, 32 << 20).alias("n")
     joined = b.join(n, F.col("b.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("b.h") == F.col("n.h")), "left")
     return joined.select("b.doc_id", "b.h", *[f"b.{k}" for k in KINDS], F.coalesce("n.terms", F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")).alias("terms"))
 
@@ -178,18 +236,6 @@ def report(docs: DataFrame) -> DataFrame:
     return analysed(docs).select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"))
 
 
-def _redact(text: Column, spans: Column) -> Column:
-    """The text with each span (start, end, put; sorted, overlaps take the first one's replacement) replaced."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        put = F.when(s["start"] >= acc["at"], F.concat(gap, s["put"])).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], put).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-
-
 def redacted(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     """docs with the same columns; in `text`, personal data and disclosing terms are generalised or removed."""
     put = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
@@ -197,9 +243,10 @@ def redacted(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     by = lambda k: F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(put[k]).alias("put")))
     each = [by(k) for k in KINDS]
     each.append(F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["disclosure"] >= remove, "").otherwise("<TERM>").alias("put"))))
-    spans = analysed(docs).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.array_sort(reduce(F.concat, [e.cast(kind) for e in each])).alias("__spans")).filter(F.size("__spans") > 0)
-    spans = Table(spans.dropDuplicates(["__id", "__h"]), "redactions")
-    known = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = known.join(hinted(spans), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_redact(F.col("text"), F.col("__spans")))
+    id_, h, spans_, key = fresh(docs, "_id", "_h", "_spans", "_key")
+    spans = analysed(docs).select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.array_sort(reduce(F.concat, [e.cast(kind) for e in each])).alias(spans_)).filter(F.size(spans_) > 0)
+    spans = Table(spans.dropDuplicates([id_, h]), "redactions")
+    known = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = known.join(hinted(spans), F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(h)), "left")
+    text = F.when(F.col(spans_).isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col(spans_)))
     return found.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
