@@ -13,10 +13,13 @@ pairs; the rest joins its classes to families, and only the sets of classes in f
 longer sketches rule out pairs of different components, the others are verified on the exact sets, closest first, and
 merge their components; a pair is skipped only when its two classes are in one component already, so no link between
 components is lost, and no pairs are made as rows. Lists of over `BLOCK` classes are compared in blocks, each two blocks
-in one task. Families beyond `FAMILY` classes or `TOKENS` tokens don't go to one task: their lists are settled in
-rounds, in each of which every component proposes its closest possible partners of other components, list by list,
+in one task. Families beyond `FAMILY` classes or `TOKENS` tokens don't go to one task: their lists, in blocks of bounded
+tokens, are settled in rounds, in each of which every component proposes its closest possible partners of other components, list by list,
 until nothing is proposed.
 
+Sets are told apart by 64-bit hashes of their tokens: two different shingles of one pair of documents agree with odds of
+about 1e-13 for 1000 words, two different sets among 1e8 with odds of about 3e-4.
+
 Defined cases: texts are compared in lower case (A-Z); a text of fewer words than n is one token, a text without words
 (or null) has none and is linked with nothing; rows without a doc_id take no part in links; repeated doc_ids are rows of
 one document; an empty table gives an empty result.
@@ -24,6 +27,7 @@ one document; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 from fractions import Fraction
 
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected
-from .runtime import Table, bucket_count, fixed, hinted
+from .runtime import Table, bucket_count, fixed, fresh, hinted
 from .textcode import Words, chunks, column, deltas, mix, seeded, undeltas, windows
 
 _BAND = 1.5
@@ -43,7 +47,9 @@ _WIDE = 1 << 16
 #: Classes of a list that are compared in one task.
 BLOCK = 1024
 #: Classes and tokens of a family that one task settles.
-FAMILY, TOKENS = 8192, 6_000_000
+FAMILY, TOKENS = 4096, 3_000_000
+#: Tokens of a block of a list of a larger family.
+BLOCK_TOKENS = 1_000_000
 _SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _OUT = pa.schema([("kind", pa.int32()), ("name", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
 _PARTS, _DOCS, _MEMBER, _DOC = 0, 1, 0, 1
@@ -114,7 +120,7 @@ def part_keys(tokens: np.ndarray, bound: Bound) -> np.ndarray:
     for band in range(band_of(size), band_of(bound.largest(size)) + 1):
         t, p = bound.parts(edges[band + 1] - 1)
         bit = seeded(seeded(tokens, 12) % U(_WIDE), 13)
-        for deal in range(1000):
+        for deal in itertools.count():  # ends: the share of parts that hold a token is the same in every deal
             part = (seeded(tokens, 100 + deal) % U(p)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             sizes = np.bincount(part, minlength=p)
@@ -143,12 +149,16 @@ def sketch(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _dealt(batches, n: int, bound: Bound, buckets: int):
-    for chunk in chunks(batches, "text"):
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    part = context.partitionId() if context else 0
+    for turn, chunk in enumerate(chunks(batches, "text")):
         first, tokens = sets(column(chunk, "text"), n)
         ids = column(chunk, "doc_id").to_pylist()
         names = [set_name(tokens[first[d] : first[d + 1]]) if first[d] < first[d + 1] else None for d in range(len(ids))]
         size = np.diff(first)
-        rows = [(abs(names[0] or 0) % buckets, _DOCS, np.array(ids, "<i8").tobytes(), size.astype("<i8").tobytes(), np.array([x or 0 for x in names], "<i8").tobytes(), b"".join(sketch(tokens[first[d] : first[d + 1]], sketch_bits(size[d])).tobytes() for d in range(len(ids)) if size[d]))]
+        rows = [(int(mix(np.array([(part << 24) + turn], U))[0] % U(buckets)), _DOCS, np.array(ids, "<i8").tobytes(), size.astype("<i8").tobytes(), np.array([x or 0 for x in names], "<i8").tobytes(), b"".join(sketch(tokens[first[d] : first[d + 1]], sketch_bits(size[d])).tobytes() for d in range(len(ids)) if size[d]))]
         seen: dict[int, int] = {}
         for d, x in enumerate(names):
             if x is not None:
@@ -206,7 +216,18 @@ def _listed(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _OUT.types, strict=True)], schema=_OUT)
 
 
-def _sketches(sets_: list[np.ndarray], limit: int = 32 << 20) -> np.ndarray:
+def _lists(x: pa.ChunkedArray) -> list[np.ndarray]:
+    """The values of a binary column as arrays of 64-bit hashes, without copying them."""
+    found = []
+    for part in x.chunks:
+        part = part.cast(pa.large_binary())
+        _, offsets, data = part.buffers()
+        off = np.frombuffer(offsets, np.int64, len(part) + 1, part.offset * 8)
+        found += [np.frombuffer(data, "<u8", int(b - a) // 8, int(a)) if b > a else np.zeros(0, U) for a, b in zip(off[:-1], off[1:], strict=True)]
+    return found
+
+
+def _sketches(sets_: list[np.ndarray], limit: int = 8 << 20) -> np.ndarray:
     """Sketches of one length, if possible two bits for each token of the largest set; one row per set."""
     bits = 2 * sketch_bits(max(map(len, sets_)))
     while bits > 256 and bits // 8 * len(sets_) > limit:
@@ -228,8 +249,8 @@ def _families(table: pa.Table, bound: Bound) -> pa.Table:
     n = table.column("size").to_numpy()
     by = np.argsort(n, kind="stable")
     n, node = n[by], table.column("node").to_numpy()[by]
-    raw = table.column("sketch").to_pylist()
-    raw = [np.frombuffer(raw[i], "<u8") for i in by]
+    raw = _lists(table.column("sketch"))
+    raw = [raw[i] for i in by]
     words = np.array([len(x) for x in raw])
     folded: dict[int, tuple[int, np.ndarray]] = {}
     comp = np.arange(len(n))
@@ -257,8 +278,8 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 def _settled(table: pa.Table, bound: Bound) -> pa.Table:
     """node, comp of a family's classes."""
     node, first = np.unique(table.column("node").to_numpy(), return_index=True)
-    raw = table.column("tokens").to_pylist()
-    tokens = [np.frombuffer(raw[i], "<u8") for i in first]
+    raw = _lists(table.column("tokens"))
+    tokens = [raw[i] for i in first]
     by = np.argsort([len(t) for t in tokens], kind="stable")
     node, tokens = node[by], [tokens[i] for i in by]
     n, s, comp = np.array([len(t) for t in tokens]), _sketches(tokens), np.arange(len(node))
@@ -295,7 +316,7 @@ _BEST = pa.schema([("list", pa.int64()), ("comp", pa.int64()), ("dist", pa.int64
 def _proposals(table: pa.Table, bound: Bound) -> pa.Table:
     """For each class of two blocks of a list the closest possible partner of another component, if any."""
     node, comp, block = (table.column(x).to_numpy() for x in ("node", "comp", "block"))
-    tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
+    tokens = _lists(table.column("tokens"))
     refuted = [set(x or ()) for x in table.column("refuted").to_pylist()]
     n, s = np.array([len(t) for t in tokens]), _sketches(tokens)
     across = block.min() != block.max()
@@ -332,6 +353,13 @@ def _blocked(lists: DataFrame, block: int) -> DataFrame:
     return lists.select("list", "node", per.alias("per")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("per")).cast("int"))
 
 
+def _by_tokens(lists: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """list, node, per, block of lists whose blocks are bounded by classes and by tokens. sizes: node, n."""
+    held = lists.select("list", "node").join(sizes, "node")
+    need = held.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_TOKENS), F.lit(1)).cast("int").alias("per"))
+    return held.select("list", "node").join(need, "list").withColumn("block", F.pmod(F.xxhash64("node"), F.col("per")).cast("int"))
+
+
 def _meets() -> Column:
     """The pairs of blocks that a node of `block` is in."""
     return F.transform(F.sequence(F.lit(0), F.col("per") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
@@ -373,37 +401,38 @@ def _in_rounds(lists: DataFrame, held: DataFrame, bound: Bound) -> DataFrame:
 def components(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5), block: int = BLOCK, family: int = FAMILY, tokens: int = TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     bound = Bound(similarity.numerator, similarity.denominator)
-    buckets = bucket_count(docs) // 2
+    buckets = bucket_count(docs)
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = known.mapInArrow(fixed(_dealt, n, bound, buckets), "bucket int, kind int, a binary, b binary, c binary, d binary")
     listed = Table(sent.groupBy("bucket").applyInArrow(_listed, "kind int, name long, n long, node long, sketch binary"), "listed")
     rows = listed.df.filter(F.col("kind") == _DOC).select(F.col("name").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
     lists = Table(_blocked(listed.df.filter(F.col("kind") == _MEMBER).select(F.col("name").alias("list"), "n", "node").distinct(), block), "lists")
-    classes = listed.df.filter((F.col("kind") == _DOC) & (F.col("n") > 0)).join(hinted(Table(lists.df.select("node").distinct(), "in-lists"), 8 << 20), "node", "left_semi")
+    classes = listed.df.filter((F.col("kind") == _DOC) & (F.col("n") > 0)).join(hinted(Table(lists.df.select("node").distinct(), "in-lists"), 24 << 20), "node", "left_semi")
     classes = Table(classes.groupBy("node").agg(F.first("n").alias("size"), F.first("sketch").alias("sketch")), "sketches")
-    pairs = lists.df.join(hinted(classes, 16 << 20), "node").select("list", F.explode(_meets()).alias("m"), "node", "size", "sketch")
+    pairs = lists.df.join(hinted(classes, 32 << 20), "node").select("list", F.explode(_meets()).alias("m"), "node", "size", "sketch")
     joined = connected(pairs.groupBy("list", "m").applyInArrow(fixed(_families, bound), "u long, v long"))
 
     named = Table(joined.df.select(F.col("u").alias("node"), F.col("v").alias("family")).unionByName(joined.df.select(F.col("v").alias("node"), F.col("v").alias("family")).distinct()), "families")
-    standing = rows.filter("n_shingles > 0").join(hinted(named, 8 << 20), "node").groupBy("node", "family").agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("size"))
+    standing = rows.filter("n_shingles > 0").join(hinted(named, 24 << 20), "node").groupBy("node", "family").agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("size"))
     standing = Table(standing, "standing")
     large = Table(standing.df.groupBy("family").agg(F.count("*").alias("c"), F.sum("size").alias("t")).filter((F.col("c") > family) | (F.col("t") > tokens)).select("family"), "large")
     any_large = large.df.limit(1).count() > 0
-    text = known.join(hinted(standing, 8 << 20), F.col("doc_id") == F.col("_id")).select("family", "node", "text")
+    text = known.join(hinted(standing, 24 << 20), F.col("doc_id") == F.col("_id")).select("family", "node", "text")
     held = text.mapInArrow(fixed(_wanted, n), "family long, node long, n long, tokens binary")
     if any_large:
         held = Table(held, "sets").df
-        big = held.join(F.broadcast(large.df), "family", "left_semi").dropDuplicates(["node"])
-        theirs = lists.df.join(named.df, "node").join(F.broadcast(large.df), "family", "left_semi").select("list", "node", "per", "block")
-        in_rounds = _in_rounds(theirs, Table(big, "large-sets").df, bound)
-        held = held.join(F.broadcast(large.df), "family", "left_anti")
+        big = held.join(hinted(large), "family", "left_semi").dropDuplicates(["node"])
+        theirs = lists.df.join(hinted(named), "node").join(hinted(large), "family", "left_semi").select("list", "node")
+        big = Table(big, "large-sets")
+        in_rounds = _in_rounds(_by_tokens(theirs, big.df.select("node", "n"), block), big.df, bound)
+        held = held.join(hinted(large), "family", "left_anti")
     state = held.groupBy("family").applyInArrow(fixed(_settled, bound), "node long, comp long")
     state = Table(state if not any_large else state.unionByName(in_rounds), "state")
 
-    joined = rows.filter("n_shingles > 0").join(hinted(state, 8 << 20), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    joined = rows.filter("n_shingles > 0").join(hinted(state, 24 << 20), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     joined = Table(joined.select("doc_id", "n_shingles", "comp"), "classes")
     least = joined.df.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    linked = joined.df.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = joined.df.join(hinted(Table(least, "least")), "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     nameless = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return linked.unionByName(alone).unionByName(nameless)
@@ -411,5 +440,6 @@ def components(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5
 
 def deduplicated(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the document with the smallest doc_id. Rows without a doc_id stay."""
-    gone = Table(components(docs, n, similarity).filter("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(hinted(gone, 8 << 20), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = Table(components(docs, n, similarity).filter("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(hinted(gone, 24 << 20), F.col("doc_id").cast("long") == F.col(name), "left_anti")
