@@ -95,3 +95,22 @@ def test_pii_of_very_many_spans_in_one_text(spark):
     out = {x.doc_id: x.text for x in pii.redacted(frame(spark, [(1, text), (2, "plain")], 1)).collect()}
     assert out == {1: " ".join("<EMAIL> \U0001f600 <IP>" for _ in range(50_000)), 2: "plain"}
     print("seconds", time.time() - started)
+
+
+def test_suffix_dedup_of_pairs_hidden_by_decoys(spark):
+    """Two documents share just 50 words; others of smaller doc_id share more of them on either side, but never 50."""
+    r = random.Random(2)
+    rows, big = [], 100_000
+    for f in range(12):
+        words = [f"w{f}_{k}" for k in range(50)]
+        pair = [[f"p{f}_{side}_{k}" for k in range(20)] + words + [f"q{f}_{side}_{k}" for k in range(20)] for side in range(2)]
+        for side, w in enumerate(pair):
+            rows.append((big + 2 * f + side, " ".join(w)))
+            for cut in (0, 10, 25, 40, 49):  # one word of the 50 differs
+                d = w[5:-5]
+                d[15 + cut] = f"x{f}_{side}_{cut}"
+                rows.append((len(rows), " ".join(d)))
+    r.shuffle(rows)
+    got = suffix_dedup.deduplicated(frame(spark, rows, 5), 50).collect()
+    assert {(x.doc_id, x.n_words, x.n_removed, brute.sha(x.kept_text)) for x in got} == brute.windows(rows, 50)
+    assert {x.doc_id: x.n_repeated for x in got} == brute.repeated(rows, 50)

@@ -14,9 +14,8 @@ doc_id that has it. Equal windows have equal minimisers, so no repeated window l
 
 A place carries its next `size` and last size - k words as 32-bit hashes, enough to decide a match of `size` words;
 longer passages are covered by their successive places. The sort is by range over words, doc_id and position, so a
-passage that a third of all rows share is spread over partitions. A partition's scan keeps a stack of places of rising
-doc_id, and passes on those that lack a smaller doc_id on one side (a few per partition, as sorted texts have their ids
-in any order); one task runs the same scan over these, so the result doesn't depend on the partitions.
+passage that a third of all rows share is spread over partitions. Neighbours across the edge of two partitions are left
+to the third step, so the result doesn't depend on the partitions.
 
 Defined cases: null text has no words; texts shorter than `size` words have no spans; rows without a doc_id count as
 larger than any other; repeated rows are one document; repeats inside one document don't count.
@@ -37,8 +36,8 @@ from .textcode import Words, chunks, column, windows
 
 K_GRAM, SPAN = 10, 31
 _PLACES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("after", pa.binary()), ("before", pa.binary())])
-_FOUND = pa.schema([("edge", pa.bool_()), ("part", pa.int32()), ("seq", pa.int32()), *_PLACES, ("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())])
-_FOUND_SQL = "edge boolean, part int, seq int, doc_id long, h long, pos int, after binary, before binary, start int, end int, removed boolean"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())])
+_FOUND_SQL = "doc_id long, h long, start int, end int, removed boolean"
 
 
 def _least(grams: np.ndarray, inside: np.ndarray, span: int):
@@ -150,19 +149,9 @@ def spans(a: tuple, b: tuple, size: int):
 
 
 def _neighbours(batches, size: int):
-    """Compares the sorted places of a partition.
-
-    Besides spans it gives, in order, the places that still need their neighbours in other partitions: those before
-    which no smaller doc_id stands here, and those after which none does."""
-    import pyspark
-
-    part = pyspark.TaskContext.get().partitionId()
-    last, heads = None, []
+    """The spans that the sorted places of a partition make with their neighbours: the one before, and the nearest of smaller doc_id on both sides."""
+    last = None
     stack: list[tuple] = []  # places whose next smaller doc_id hasn't come yet
-
-    def row(x, seq=0, edge=False, start=0, end=0, removed=False):
-        return (edge, part, seq, x[0], x[1], x[2], x[3] if edge else None, x[4] if edge else None, start, end, removed)
-
     for batch in batches:
         out: dict[tuple, list[int]] = {}  # a place's spans all hold the place, so together they are one
         for x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -171,8 +160,6 @@ def _neighbours(batches, size: int):
                 near.append(stack.pop())
             if stack:
                 near.append(stack[-1])
-            else:
-                heads.append(x)
             if not stack or stack[-1][3:] != x[3:]:  # of equal surroundings the smallest doc_id serves all that follow
                 stack.append(x)
             for y in {id(y): y for y in near}.values():
@@ -182,9 +169,7 @@ def _neighbours(batches, size: int):
                         ends[:] = min(a, ends[0]), max(b, ends[1])
             last = x
         if out:
-            yield _batch([row(p, start=a, end=b, removed=p[3]) for p, (a, b) in out.items()])
-    if last is not None:
-        yield _batch([row(x, n, True) for n, x in enumerate([*heads, *stack, last])])
+            yield _batch([(p[0], p[1], a, b, p[3]) for p, (a, b) in out.items()])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -196,7 +181,7 @@ def repeated_spans(docs: DataFrame, size: int = 50, k: int = K_GRAM, span: int =
     if k + span - 1 > size:
         raise ValueError("a passage of `size` words would need no minimiser")
     texts = keyed(docs)
-    buckets = bucket_count(docs) // 2
+    buckets = bucket_count(docs)
     sent = texts.mapInArrow(fixed(_level, k, None, False, buckets, lambda g, ok: minimisers(g, ok, span)), _SENT)
     maps = sent.groupBy("bucket").applyInArrow(fixed(_answers, False), _SENT).groupBy("chunk").applyInArrow(fixed(_bitmaps), "b_id long, b_h long, bits binary")
     shared = Table(maps.dropDuplicates(["b_id", "b_h"]), "minimisers")
@@ -204,10 +189,7 @@ def repeated_spans(docs: DataFrame, size: int = 50, k: int = K_GRAM, span: int =
     found = []
     for key in (("after", "before"), ("before", "after")):
         by = places.df.repartitionByRange(*key, "doc_id", "pos").sortWithinPartitions(*key, "doc_id", "pos")
-        table = Table(by.mapInArrow(fixed(_neighbours, size), _FOUND_SQL), "neighbours").df
-        edges = table.filter("edge").coalesce(1).sortWithinPartitions("part", "seq").select("doc_id", "h", "pos", "after", "before")
-        for rows in (table, edges.mapInArrow(fixed(_neighbours, size), _FOUND_SQL)):
-            found.append(rows.filter("not edge").select("doc_id", "h", "start", "end", "removed"))
+        found.append(Table(by.mapInArrow(fixed(_neighbours, size), _FOUND_SQL), "neighbours").df)
     places.drop()
     # decide exactly: every window that may be repeated meets its equals
     sent = with_bits(texts, shared, "inner").mapInArrow(lambda batches: _level(_candidates(batches, size, k, span), size, size, True, buckets, both=True), _SENT)
