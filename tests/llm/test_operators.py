@@ -84,7 +84,7 @@ def test_packing_rounds_against_serial_best_fit(spark, kind):
     r = np.random.default_rng(1)
     lengths = {"any": r.integers(1, 65, 3000), "hot": np.r_[[21] * 1500, r.integers(1, 65, 1500)], "small": np.r_[r.integers(1, 9, 2500), r.integers(40, 65, 300)], "halves": np.r_[[33] * 9, [31] * 9], "none": np.zeros(0, int)}[kind].tolist()
     items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "pid long, length long").repartition(4)
-    packer = best_fit_packing.Packer(items, 64, rows_per_salt=1000)
+    packer = best_fit_packing.Packer(items, 64, rows_per_salt=1000, rows_per_sweep=700)
     got = packer.run().collect()
     used = collections.Counter()
     for x in got:

@@ -5,8 +5,8 @@ placed by rounds, longest size class first. A round range-sorts its pieces and t
 first; a sweep of a partition keeps its gaps on a stack, so the top is the successor of the piece that comes next: the
 smallest gap that still holds it. What a partition can't match by itself is matched across partitions by rank: from two
 numbers a partition (pieces left, gaps left) follows which ranks of which partitions meet, and an equi-join on
-(partition, rank) brings them together. Gaps shrink, and the class repeats until a round places nothing; then its pieces
-that no gap holds open sequences, as many to one as fit. A gap may take several pieces of a class in one round (as many
+(partition, rank) brings them together. Gaps shrink, and the class repeats while a round places a tenth of its pieces;
+then the pieces that no gap took open sequences, as many to one as fit. A gap may take several pieces of a class in one round (as many
 as its largest ones would allow), so rounds don't grow with the data: they follow from the classes.
 
 A piece is written a few times as (number, length) and looked up once. The driver sees two numbers a partition and a
@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import Table, fixed, partitions
+from .runtime import Table, fixed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -72,7 +73,7 @@ _SWEPT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("length", pa.int6
 _SWEPT_SQL = "kind int, id long, length long, seq long, part int, at long, units long"
 _PLACED, _PIECE, _GAP = 0, 1, 2
 #: Lengths up to this are one class.
-SMALL = 16
+SMALL = 8
 
 
 def sweep(batches, part: int | None = None):
@@ -145,12 +146,12 @@ def classes(capacity: int) -> list[tuple[int, int]]:
 
 
 class Packer:
-    """The rounds. items: pid, length. `placed` has tables of pid, length, sequence_id; `rounds` counts sweeps."""
+    """The rounds. items: pid, length. `placed` has frames of pid, length, sequence_id; `rounds` counts sweeps."""
 
-    def __init__(self, items: DataFrame, capacity: int, rows_per_salt: int = 100_000):
-        self.spark, self.items, self.capacity, self.rows_per_salt = items.sparkSession, items, capacity, rows_per_salt
-        self.placed: list[Table] = []
-        self.rounds = self.openings = 0
+    def __init__(self, items: DataFrame, capacity: int, rows_per_salt: int = 100_000, rows_per_sweep: int = 200_000):
+        self.spark, self.items, self.capacity, self.rows_per_salt, self.rows_per_sweep = items.sparkSession, items, capacity, rows_per_salt, rows_per_sweep
+        self.placed: list[DataFrame] = []
+        self.rounds = self.openings = self.done = 0
         self.open: Table | None = None
 
     def run(self) -> DataFrame:
@@ -158,64 +159,60 @@ class Packer:
         counts = {r[0]: r[1] for r in self.items.groupBy("length").count().collect()}  # one number per length
         half = self.capacity // 2
         self._opened(self.items.filter(F.col("length") > half).withColumn("sequence_id", -F.col("pid") - 1))
+        self.done = sum(n for length, n in counts.items() if length > half)
         for low, high in classes(self.capacity):
-            if any(low <= n <= high for n in counts):
-                self._place(self.items.filter(F.col("length").between(low, high)), low, high)
-        out = self.placed[0].df
-        for t in self.placed[1:]:
-            out = out.unionByName(t.df)
-        return out.select("pid", "sequence_id")
+            if many := sum(n for length, n in counts.items() if low <= length <= high):
+                self._place(self.items.filter(F.col("length").between(low, high)), many, low, high)
+        return reduce(DataFrame.unionByName, self.placed).select("pid", "sequence_id")
 
     def _opened(self, rows: DataFrame) -> None:
         """Places rows (pid, length, sequence_id) in new sequences."""
         t = Table(rows.select("pid", "length", "sequence_id"), "packed")
-        self.placed.append(t)
+        self.placed.append(t.df)
         gaps = t.df.groupBy("sequence_id").agg((F.lit(self.capacity) - F.sum("length")).alias("gap")).filter("gap > 0")
         before, self.open = self.open, Table(gaps if self.open is None else self.open.df.unionByName(gaps), "gaps")
         if before is not None:
             before.drop()
 
-    def _place(self, left: DataFrame, low: int, high: int) -> None:
-        held: Table | None = None
-        while True:
-            swept, segments = self._sweep(left, low, high)
-            over = held
+    def _place(self, left: DataFrame, many: int, low: int, high: int) -> None:
+        """Sweeps while a sweep places a tenth of its pieces or more; what is left opens sequences."""
+        while many:
+            swept, segments, rest = self._sweep(left, many, low, high)
             pieces_ = swept.df.filter(F.col("kind") == _PIECE).select("id", "length", "part", "at")
             seg = F.broadcast(self.spark.createDataFrame(segments, "p int, first long, n long, of int, end long"))  # a few rows a partition
             meets = pieces_.join(seg, (F.col("part") == F.col("p")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("n")), "left")
             meets = meets.withColumn("unit", F.col("end") - 1 - (F.col("at") - F.col("first")))
-            gaps = swept.df.filter(F.col("kind") == _GAP).select("seq", F.col("part").alias("g_part"), F.col("at").alias("g_at"), "units")
-            used = gaps.join(seg, (F.col("g_part") == F.col("of")) & (F.col("g_at") < F.col("end")) & (F.col("g_at") + F.col("units") > F.col("end") - F.col("n")))
-            used = used.select("g_part", "seq", F.explode(F.sequence(F.greatest("g_at", F.col("end") - F.col("n")), F.least(F.col("g_at") + F.col("units"), "end") - 1)).alias("g_unit"))
-            across = meets.filter("unit IS NOT NULL").join(used, (F.col("of") == F.col("g_part")) & (F.col("unit") == F.col("g_unit"))).select(F.col("id").alias("pid"), "length", F.col("seq").alias("sequence_id"))
-            within = swept.df.filter(F.col("kind") == _PLACED).select(F.col("id").alias("pid"), "length", F.col("seq").alias("sequence_id"))
-            now = Table(within.unionByName(across), "packed")
-            self.placed.append(now)
-            held = Table(meets.filter("unit IS NULL").select(F.col("id").alias("pid"), "length"), "unplaced")
-            swept.drop()
-            if over is not None:
-                over.drop()
-            taken = now.df.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
-            before, self.open = self.open, Table(self.open.df.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).filter("gap > 0"), "gaps")
-            before.drop()
-            rest = held.df.count()
-            if not rest:
-                break
-            if not now.df.limit(1).count():
-                self._open_for(held.df, rest)
+            now = swept.df.filter(F.col("kind") == _PLACED).select(F.col("id").alias("pid"), "length", F.col("seq").alias("sequence_id"))
+            if segments:
+                gaps = swept.df.filter(F.col("kind") == _GAP).select("seq", F.col("part").alias("g_part"), F.col("at").alias("g_at"), "units")
+                used = gaps.join(seg, (F.col("g_part") == F.col("of")) & (F.col("g_at") < F.col("end")) & (F.col("g_at") + F.col("units") > F.col("end") - F.col("n")))
+                used = used.select("g_part", "seq", F.explode(F.sequence(F.greatest("g_at", F.col("end") - F.col("n")), F.least(F.col("g_at") + F.col("units"), "end") - 1)).alias("g_unit"))
+                across = meets.filter("unit IS NOT NULL").join(used, (F.col("of") == F.col("g_part")) & (F.col("unit") == F.col("g_unit")))
+                now = now.unionByName(Table(across.select(F.col("id").alias("pid"), "length", F.col("seq").alias("sequence_id")), "packed").df)
+            if rest < many:
+                self.placed.append(now)
+                taken = now.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
+                before, self.open = self.open, Table(self.open.df.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).filter("gap > 0"), "gaps")
+                before.drop()
+            self.done += many - rest
+            left = meets.filter("unit IS NULL").select(F.col("id").alias("pid"), "length")
+            if rest and 10 * (many - rest) < many:
+                self._open_for(left, rest)
                 break
-            left = held.df
-        held.drop()
+            many = rest
 
-    def _sweep(self, left: DataFrame, low: int, high: int) -> tuple[Table, list[tuple]]:
+    def _sweep(self, left: DataFrame, many: int, low: int, high: int) -> tuple[Table, list[tuple], int]:
+        """(the sweep's rows, which ranks meet across partitions, how many pieces stay unplaced)."""
         self.rounds += 1
         wanted = left.select(F.col("length").alias("size"), F.lit(True).alias("is_piece"), F.col("pid").alias("id"), F.lit(1).cast("long").alias("units"))
         gaps = self.open.df.filter(F.col("gap") >= low).select(F.col("gap").alias("size"), F.lit(False).alias("is_piece"), F.col("sequence_id").alias("id"), F.greatest(F.lit(1), F.floor(F.col("gap") / high)).cast("long").alias("units"))
         order = (F.desc("size"), F.asc("is_piece"), F.asc("id"))
-        both = wanted.unionByName(gaps).repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order)
+        parts = max(1, math.ceil((many + self.done) / self.rows_per_sweep))  # there are no more open sequences than pieces placed
+        both = wanted.unionByName(gaps).repartitionByRange(parts, *order).sortWithinPartitions(*order)
         swept = Table(both.mapInArrow(fixed(sweep), _SWEPT_SQL), "swept")
         ends = swept.df.filter(F.col("kind") != _PLACED).groupBy("part").agg(F.count(F.when(F.col("kind") == _PIECE, 1)).alias("pieces"), F.coalesce(F.sum("units"), F.lit(0)).alias("units")).collect()
-        return swept, meetings({r[0]: (r[1], r[2]) for r in ends})
+        segments = meetings({r[0]: (r[1], r[2]) for r in ends})
+        return swept, segments, sum(r[1] for r in ends) - sum(s[2] for s in segments)
 
     def _open_for(self, rows: DataFrame, count: int) -> None:
         """Opens sequences, with as many pieces of about one length each as fit."""
