@@ -158,3 +158,37 @@ def test_streams(spark, tmp_path):
         assert spark.table(f"stream_{name}").count() >= 0
     batch = windows.event_counts(spark.read.schema(windows.EVENTS).parquet(str(tmp_path / "in")), "30 minutes")
     assert sorted(r.n for r in batch.collect()) == [4, 6]
+
+
+def test_svm_reaches_the_least_objective(spark):
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=(60, 4)) * (r.random((60, 4)) < 0.8), r.integers(0, 3, 60)
+    x[np.arange(60), y] += 1
+    rows = [(int(c), [int(j) for j in np.flatnonzero(v)], [float(a) for a in v[v != 0]]) for v, c in zip(x, y, strict=True)]
+    data = spark.createDataFrame(rows, "y int, js array<int>, vs array<double>").repartition(3)
+    got = classify.svm_weights(data, (3, 4), c=0.1, tolerance=1e-3)
+    value = lambda w: (w * w).sum() / 2 + 0.1 * classify._hinge(w, x, y, 0)[0]
+    w, least = np.zeros((3, 4)), np.inf
+    for t in range(4000):  # plain subgradient steps
+        w = w - (w + 0.1 * classify._hinge(w, x, y, 0)[1]) / (t + 10)
+        least = min(least, value(w))
+    assert value(got) <= 1.01 * least
+
+
+def test_cross_validation_of_a_simple_rule(spark):
+    x = spark.createDataFrame([(i, i % 3, 1.0) for i in range(60)] + [(i, 3, 0.5) for i in range(60)], "id long, f long, v double")
+    labels = spark.createDataFrame([(i, f"class{i % 3}") for i in range(60)], "id long, label string")
+    got = classify.cross_validation(x, labels, n=3, min_size=2).collect()
+    assert sum(g["size"] for g in got) == 60 and all(g.accuracy == 1 for g in got) and len(got) == 3
+
+
+def test_nothing_but_the_entry_point_needs_the_training_data_operators():
+    import ast
+    import pathlib
+
+    root = pathlib.Path(__file__).parent.parent
+    for path in [*root.glob("tidewright/**/*.py"), *root.glob("tests/*.py"), root / "bench.py"]:
+        if "llm" in path.relative_to(root).parts:
+            continue
+        names = [n for node in ast.walk(ast.parse(path.read_text())) for n in ([a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else [])]
+        assert not any("llm" in n.split(".") or n == "corpus_pipeline" for n in names), path

@@ -76,10 +76,8 @@ class User(_Of):
         return (models.user_tfidf_by_taggers if by_taggers else models.user_tfidf)(self.spark, self.folder, self.userid)
 
     def recommend(self, method: str = "ALL", relevant: tuple[int, ...] | None = None) -> DataFrame:
-        """SVD, PCA, LDA, TENSORD, PAGERANK or ALL; movies marked relevant re-rank by feedback. TENSORD recommends for the first user of its rows."""
-        if method == "ALL" or relevant or method == "TENSORD":
-            return recommend.recommend(self.spark, self.folder, method, relevant, self.userid)
-        return recommend.METHODS[method](self.spark, self.folder, self.userid)
+        """SVD, PCA, LDA, TENSORD, PAGERANK or ALL; movies marked relevant re-rank by feedback."""
+        return recommend.recommend(self.spark, self.folder, method, relevant, self.userid)
 
 
 @dataclass(frozen=True)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .iterate import written
 from .relational import majority, top_by
 
 
@@ -78,9 +81,9 @@ def root_split(x: DataFrame, labels: DataFrame) -> DataFrame:
     missing = seen.join(rows.select("f", "label").distinct(), ["f", "label"], "left_anti").select("f", F.lit(0.0).alias("v"), "label", F.col("n").alias("c"))
     at = at.unionByName(zero).unionByName(missing).groupBy("f", "v", "label").agg(F.sum("c").alias("c"))
     values = at.select("f", "v").distinct()
-    grid = values.join(at.select("f", F.col("v").alias("u"), "label", "c"), "f").filter(F.col("u") < F.col("v"))
-    left = grid.groupBy("f", "v", "label").agg(F.sum("c").alias("l"))
-    every = values.crossJoin(F.broadcast(sizes)).join(left, ["f", "v", "label"], "left").withColumn("l", F.coalesce("l", F.lit(0)))
+    cells = values.crossJoin(F.broadcast(sizes)).join(at, ["f", "v", "label"], "left")  # classes are few
+    below = F.sum("c").over(Window.partitionBy("f", "label").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    every = cells.withColumn("l", F.coalesce(below, F.lit(0))).select("f", "v", "label", "n", "l")
     side = every.groupBy("f", "v").agg(F.sum("l").alias("nl"), F.sum(F.col("l") * F.col("l")).alias("sl"), F.sum((F.col("n") - F.col("l")) * (F.col("n") - F.col("l"))).alias("sr"))
     side = side.crossJoin(F.broadcast(total)).withColumn("nr", F.col("total") - F.col("nl"))
     part = lambda n, s: F.when(F.col(n) > 0, (1 - F.col(s) / F.when(F.col(n) > 0, F.col(n) * F.col(n))) * F.col(n) / F.col("total")).otherwise(F.lit(0.0))
@@ -102,71 +105,132 @@ def tree(x: DataFrame, labels: DataFrame, depth: int = 5, min_size: int = 10, bi
     from pyspark.ml.classification import DecisionTreeClassifier
 
     features = [r[0] for r in x.select("f").distinct().orderBy("f").collect()]
-    vectors, names = _vectors(x, features).cache(), codes(labels)
+    vectors, names = written(_vectors(x, features), "vectors"), codes(labels)
     data = vectors.join(labels.join(F.broadcast(names), "label"), "id").orderBy("id")
     model = DecisionTreeClassifier(featuresCol="features", labelCol="code", maxDepth=depth, minInstancesPerNode=min_size, impurity="gini", maxBins=bins, seed=1).fit(data)
     return model.transform(vectors).join(F.broadcast(names), F.col("prediction") == F.col("code")).select("id", "label")
 
 
-def _simplex(v: np.ndarray, z: float) -> np.ndarray:
-    """The nearest point of the simplex of sum z."""
-    u = np.sort(v)[::-1]
-    over = np.cumsum(u) - z
-    last = np.flatnonzero(u - over / np.arange(1, len(v) + 1) > 0)[-1]
-    return np.maximum(v - over[last] / (last + 1), 0)
-
-
-def crammer_singer(x: np.ndarray, y: np.ndarray, classes: int, c: float = 0.1, tolerance: float = 0.01, sweeps: int = 100, seed: int = 0) -> np.ndarray:
-    """Weights (classes x features) of the multiclass SVM, by dual coordinate descent."""
-    n, dims = x.shape
-    dual, weights = np.zeros((classes, n)), np.zeros((classes, dims))
-    norm = (x * x).sum(1)
-    order = np.random.default_rng(seed).permutation(n)
-    first = None
-    for _ in range(sweeps):
-        total = 0.0
-        for i in order:
-            if norm[i] == 0:
-                continue
-            g = weights @ x[i] + 1
-            g[y[i]] -= 1
-            room = np.where(np.arange(classes) == y[i], c, 0.0)
-            open_ = dual[:, i] < room
-            v = g.max() - g[open_].min() if open_.any() else 0.0
-            total += v
-            if v < 1e-12:
-                continue
-            beta = norm[i] * (room - dual[:, i]) + g
-            step = room - _simplex(beta, c * norm[i]) / norm[i] - dual[:, i]
-            weights += np.outer(step, x[i])
-            dual[:, i] += step
-        first = total if first is None else first
-        if first == 0 or total / first < tolerance:
+def _packed(x: DataFrame, labels: DataFrame, features: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row per labelled entity: y (the label's code), js and vs (its entries)."""
+    cells = x.join(F.broadcast(features), "f").groupBy("id").agg(F.collect_list(F.struct(F.col("j"), F.col("v").cast("double").alias("v"))).alias("e"))  # an entity's own entries
+    return cells.join(labels.join(F.broadcast(classes), "label"), "id").select("y", F.col("e.j").alias("js"), F.col("e.v").alias("vs"))
+
+
+def _hinge(w: np.ndarray, x: np.ndarray, y: np.ndarray, smooth: float) -> tuple[float, np.ndarray]:
+    """Sum and gradient of the smoothed multiclass hinge loss max_r(w_r x + [r != y]) - w_y x; smooth=0 gives the loss itself and one of its subgradients."""
+    rows = np.arange(len(y))
+    z = x @ w.T
+    z = z - z[rows, y][:, None] + 1
+    z[rows, y] = 0
+    top = z.max(1, keepdims=True)
+    if smooth:
+        p = np.exp((z - top) / smooth)
+        total = p.sum(1, keepdims=True)
+        value = (top[:, 0] + smooth * np.log(total[:, 0])).sum()
+        p /= total
+    else:
+        value = top.sum()
+        p = np.zeros_like(z)
+        p[rows, z.argmax(1)] = 1
+    p[rows, y] -= 1
+    return float(value), p.T @ x
+
+
+def _loss_over(data: DataFrame, shape: tuple[int, int], smooth: float):
+    """w -> (sum of losses, gradient) over all partitions; each sends one vector, and they are added up by position."""
+    spark, (classes, dims) = data.sparkSession, shape
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(w)  # classes x features
+
+        def part(frames):
+            total, gradient = 0.0, np.zeros(shape)
+            for frame in frames:
+                for i in range(0, len(frame), 512):
+                    own = frame.iloc[i : i + 512]
+                    x = np.zeros((len(own), dims))
+                    for r, (js, vs) in enumerate(zip(own["js"], own["vs"], strict=True)):
+                        x[r, js] = vs
+                    value, g = _hinge(shared.value, x, own["y"].to_numpy(int), smooth)
+                    total, gradient = total + value, gradient + g
+            yield pd.DataFrame({"g": [np.append(gradient.ravel(), total)]})
+
+        sums = data.mapInPandas(part, "g array<double>").select(F.posexplode("g").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g")).toPandas()
+        out = np.zeros(classes * dims + 1)
+        out[sums["k"].to_numpy(int)] = sums["g"].to_numpy()
+        shared.unpersist()
+        return out[-1], out[:-1].reshape(shape)
+
+    return at
+
+
+def minimised(f, start: np.ndarray, tolerance: float, steps: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with halving steps. f gives value and gradient; ends when the gradient's norm has fallen to `tolerance` of the first."""
+    w, (value, g) = start, f(start)
+    first, pairs = np.linalg.norm(g), []
+    for _ in range(steps):
+        if np.linalg.norm(g) <= tolerance * first:
+            break
+        q, kept = g.copy(), []
+        for s, d, rho in reversed(pairs):
+            kept.append(rho * (s * q).sum())
+            q -= kept[-1] * d
+        if pairs:
+            s, d, _ = pairs[-1]
+            q *= (s * d).sum() / (d * d).sum()
+        for (s, d, rho), a in zip(pairs, reversed(kept), strict=True):
+            q += (a - rho * (d * q).sum()) * s
+        slope, size = -(q * g).sum(), 1.0 if pairs else 1 / max(1.0, np.linalg.norm(q))
+        while size > 1e-8:
+            new = w - size * q
+            new_value, new_g = f(new)
+            if new_value <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
             break
-    return weights
+        s, d = new - w, new_g - g
+        if (s * d).sum() > 1e-12:
+            pairs = [*pairs, (s, d, 1 / (s * d).sum())][-memory:]
+        w, value, g = new, new_value, new_g
+    return w
+
+
+def svm_weights(data: DataFrame, shape: tuple[int, int], c: float = 0.1, tolerance: float = 0.01, steps: int = 100, smooth: float = 0.02) -> np.ndarray:
+    """Weights (classes x features) that minimise |w|^2 / 2 + c * sum of multiclass hinge losses, smoothed at its edges."""
+    loss = _loss_over(data, shape, smooth)
 
+    def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, g = loss(w)
+        return (w * w).sum() / 2 + c * value, w + c * g
 
-def svm(x: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> DataFrame:
-    """id, label of all entities. The dual is solved in one task on at most `sample` labelled rows (the first by id's hash); all are predicted in parallel."""
+    return minimised(objective, np.zeros(shape), tolerance, steps)
+
+
+def svm(x: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """id, label of all entities by a multiclass SVM. All labelled rows are used, partition by partition; the driver holds the weights (classes times a bounded vocabulary)."""
     spark = x.sparkSession
     features = [r[0] for r in x.select("f").distinct().orderBy("f").collect()]
     names = [r[0] for r in labels.select("label").distinct().orderBy("label").collect()]
-    at, code = {f: i for i, f in enumerate(features)}, {c: i for i, c in enumerate(names)}
-    chosen = labels.orderBy(F.xxhash64("id"), "id").limit(sample)
-    cells = x.join(F.broadcast(chosen), "id").select("id", "label", "f", "v")
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, rows = np.unique(frame["id"].to_numpy(), return_inverse=True)
-        m = np.zeros((len(ids), len(features)))
-        m[rows, frame["f"].map(at)] = frame["v"]
-        y = np.zeros(len(ids), int)
-        y[rows] = frame["label"].map(code)
-        w = crammer_singer(m, y, len(names), **options)
-        c, f = np.nonzero(w)
-        return pd.DataFrame({"c": c, "j": f, "w": w[c, f]})
-
-    weights = cells.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(solve, "c int, j int, w double")
     kind = x.schema["f"].dataType.simpleString()
-    named = weights.join(F.broadcast(spark.createDataFrame(list(enumerate(features)), f"j int, f {kind}")), "j").join(F.broadcast(spark.createDataFrame(list(enumerate(names)), "c int, label string")), "c")
-    scores = x.join(named.select("f", "label", "w"), "f").groupBy("id", "label").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
+    f_table, c_table = spark.createDataFrame(list(enumerate(features)), f"j int, f {kind}"), spark.createDataFrame(list(enumerate(names)), "y int, label string")
+    data = written(_packed(x, labels, f_table, c_table), "svm")
+    w = svm_weights(data, (len(names), len(features)), **options)
+    c, f = np.nonzero(w)
+    weights = spark.createDataFrame(pd.DataFrame({"y": c, "j": f, "w": w[c, f]}), "y int, j int, w double")
+    named = weights.join(F.broadcast(f_table), "j").join(F.broadcast(c_table), "y")
+    scores = x.join(F.broadcast(named.select("f", "label", "w")), "f").groupBy("id", "label").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
     return top_by(scores, 1, ["id"], F.desc("score"), F.asc("label")).select("id", "label")
+
+
+def cross_validation(x: DataFrame, labels: DataFrame, n: int = 5, seed: int = 0, **options) -> DataFrame:
+    """fold, size, accuracy of trees that were fitted on the other folds."""
+    dealt = written(folds(labels, "id", n, seed), "folds")
+    found = []
+    for k in range(n):
+        test = dealt.filter(F.col("fold") == k)
+        guess = tree(x, dealt.filter(F.col("fold") != k).select("id", "label"), **options).withColumnRenamed("label", "guess")
+        right = F.when(F.col("guess") == F.col("label"), 1.0).otherwise(0.0)
+        found.append(test.join(guess, "id", "left").agg(F.lit(k).alias("fold"), F.count("*").alias("size"), F.avg(right).alias("accuracy")))
+    return reduce(DataFrame.unionByName, found)

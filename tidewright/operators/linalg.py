@@ -78,7 +78,7 @@ def svd(x: DataFrame, k: int, left: bool = True) -> tuple[DataFrame, np.ndarray,
         values, vectors = np.linalg.eigh(g) if n else (np.zeros(0), np.zeros((0, 0)))
         order = np.argsort(-values)[:k]
         s = np.sqrt(np.maximum(values[order], 0))
-        keep = s > 1e-9 * max(1e-300, s.max(initial=0))
+        keep = s > np.sqrt(4 * max(1, n) * np.finfo(float).eps) * max(1e-300, s.max(initial=0))  # below that, the Gram matrix holds rounding only
         s, v = s[keep], signs(vectors[:, order[keep]])
     else:
         from pyspark.mllib.linalg import SparseVector
@@ -142,6 +142,37 @@ def cosine_to_all(x: DataFrame, ids: DataFrame) -> DataFrame:
     return s.filter(both > 0).select("watched", "id", (F.col("dot") / F.when(both > 0, both)).alias("cosine"))
 
 
+def _gram_of_columns(z: DataFrame, columns: list[str]) -> np.ndarray:
+    """The k x k products of k columns: each partition adds up its own, and these are added by position."""
+    k = len(columns)
+
+    def part(frames):
+        import pandas as pd
+
+        total = np.zeros((k, k))
+        for frame in frames:
+            m = frame.to_numpy(float)
+            total += m.T @ m
+        yield pd.DataFrame({"g": [total.ravel()]})
+
+    out = np.zeros(k * k)
+    for at, value in z.select(*columns).mapInPandas(part, "g array<double>").select(F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g")).collect():
+        out[at] = value
+    return out.reshape(k, k)
+
+
+def _turned(z: DataFrame, turn: np.ndarray, names: list[str]) -> DataFrame:
+    """f and the rows of z times a k x k matrix."""
+
+    def part(frames):
+        import pandas as pd
+
+        for frame in frames:
+            yield pd.concat([frame[["f"]], pd.DataFrame(frame.drop(columns="f").to_numpy(float) @ turn, columns=names, index=frame.index)], axis=1)
+
+    return z.select("f", *[f"z{c}" for c in names]).mapInPandas(part, f"f {z.schema['f'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in names))
+
+
 def subspace(x: DataFrame, k: int, sweeps: int = 6, centre: bool = True, seed: int = 0) -> DataFrame:
     """f, q0 .. q(k-1): the k leading principal directions (or right singular vectors) by subspace iteration.
 
@@ -159,12 +190,12 @@ def subspace(x: DataFrame, k: int, sweeps: int = 6, centre: bool = True, seed: i
             dots = means.join(q, "f").agg(*[F.sum(F.col("m") * F.col(c)).alias(f"d{c}") for c in names])
             z = z.join(means, "f").crossJoin(F.broadcast(dots)).select("f", *[(F.col(f"z{c}") - n * F.col("m") * F.col(f"d{c}")).alias(f"z{c}") for c in names])
         z = written(z, "subspace-z")
-        g = np.array(z.agg(*[F.sum(F.col(f"z{a}") * F.col(f"z{b}")) for a in names for b in names]).first(), float).reshape(k, k)
+        g = _gram_of_columns(z, [f"z{c}" for c in names])
         values, vectors = np.linalg.eigh(g)
         order = np.argsort(-values)
         values, vectors = values[order], vectors[:, order]
         turn = vectors / np.sqrt(np.maximum(values, 1e-12 * max(values.max(), 1e-300)))
-        q = z.select("f", *[sum((F.col(f"z{a}") * float(turn[i, c]) for i, a in enumerate(names)), F.lit(0.0)).alias(b) for c, b in enumerate(names)])
+        q = _turned(z, turn, names)
     return written(q, "subspace-q")
 
 

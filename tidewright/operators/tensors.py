@@ -30,13 +30,13 @@ def _start(tensor: DataFrame, mode: str, rank: int, seed: int) -> DataFrame:
     return ids.select(mode, *[((F.pmod(F.xxhash64(F.col(mode), F.lit(f"{mode}{r}/{seed}")), F.lit(1_000_003)) + 1) / 1_000_004).alias(c) for r, c in enumerate(_columns(mode, rank))])
 
 
-def cp(tensor: DataFrame, rank: int = 5, sweeps: int = 10, seed: int = 0) -> tuple[dict[str, DataFrame], float]:
-    """(factors by mode: the index and rank columns, fit = 1 - |X - model| / |X|)."""
+def cp(tensor: DataFrame, rank: int = 5, sweeps: int = 25, seed: int = 0, tolerance: float = 1e-3) -> tuple[dict[str, DataFrame], float]:
+    """(factors by mode: the index and rank columns, fit = 1 - |X - model| / |X|). Ends when a sweep raises the fit by less than the tolerance."""
     t = written(tensor.select(*MODES, F.col("x").cast("double").alias("x")), "tensor")
     factors = {m: written(_start(t, m, rank, seed), f"factor-{m}") for m in MODES}
     grams = {m: _gram(factors[m], m, rank) for m in MODES}
     norm2 = t.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
-    inner = 0.0
+    inner, fit = 0.0, 0.0
     for _ in range(sweeps):
         for m in MODES:
             a, b = [o for o in MODES if o != m]
@@ -47,9 +47,11 @@ def cp(tensor: DataFrame, rank: int = 5, sweeps: int = 10, seed: int = 0) -> tup
             inner = new.agg(sum((F.sum(F.col(f"_{r}") * F.col(f"{m}{r}")) for r in range(rank)), F.lit(0.0))).first()[0] or 0.0
             factors[m] = new.select(m, *_columns(m, rank))
             grams[m] = _gram(factors[m], m, rank)
-    model2 = float((grams["i"] * grams["j"] * grams["k"]).sum())
-    residual = max(0.0, norm2 - 2 * inner + model2)
-    return factors, 1 - (residual**0.5) / norm2**0.5 if norm2 else 1.0
+        model2 = float((grams["i"] * grams["j"] * grams["k"]).sum())
+        before, fit = fit, 1 - (max(0.0, norm2 - 2 * inner + model2) / norm2) ** 0.5 if norm2 else 1.0
+        if abs(fit - before) < tolerance:
+            break
+    return factors, fit
 
 
 def long(factor: DataFrame, mode: str, rank: int) -> DataFrame:

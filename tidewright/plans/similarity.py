@@ -124,24 +124,13 @@ def coactor_counts(spark: SparkSession, sf: str) -> DataFrame:
 def coactor_groups(spark: SparkSession, sf: str) -> DataFrame:
     """actorid, component: three groups by the singular vectors of the coactor matrix without its diagonal.
 
-    A symmetric matrix is its own Gram matrix's root: subspace iteration applies it three vectors at a time."""
-    import numpy as np
-
-    from ..operators.iterate import written
-
-    pairs = written(coactor_counts(spark, sf), "coactors")
-    ids = [r[0] for r in pairs.select("a1").distinct().orderBy("a1").collect()]
-    at = {a: i for i, a in enumerate(ids)}
-    q = np.linalg.qr(np.random.default_rng(0).normal(size=(len(ids), 3)))[0] if ids else np.zeros((0, 3))
-    for _ in range(8):
-        block = F.broadcast(spark.createDataFrame([(a, *map(float, q[i])) for a, i in at.items()], "a2 long, x0 double, x1 double, x2 double"))
-        got = pairs.join(block, "a2").groupBy("a1").agg(*[F.sum(F.col("w") * F.col(f"x{c}")) for c in range(3)]).collect()
-        z = np.zeros_like(q)
-        for row in got:
-            z[at[row[0]]] = row[1:]
-        q, r = np.linalg.qr(z)
-    q = linalg.signs(q)
-    u = spark.createDataFrame([(a, c, float(q[i, c])) for a, i in at.items() for c in range(3)], "id long, component int, value double")
+    A symmetric matrix's singular vectors come from subspace iteration on its entries; each is turned so that its entry of largest magnitude is positive."""
+    pairs = _fv(coactor_counts(spark, sf), "a1", "a2", "w")
+    q = linalg.subspace(pairs, 3, sweeps=8, centre=False)
+    names = [f"q{c}" for c in range(3)]
+    largest = q.agg(*[F.max_by(c, F.struct(F.round(F.abs(c), 9), -F.col("f"))).alias(f"m{c}") for c in names])  # one row
+    each = F.array(*[F.struct(F.lit(i).alias("component"), (F.col(c) * F.when(F.col(f"m{c}") < 0, -1.0).otherwise(1.0)).alias("value")) for i, c in enumerate(names)])
+    u = q.crossJoin(F.broadcast(largest)).select(F.col("f").alias("id"), F.explode(each).alias("e")).select("id", "e.component", "e.value")
     return linalg.groups(u).withColumnRenamed("id", "actorid")
 
 
@@ -179,14 +168,25 @@ def _all_movies(weight, rounded: bool = False):
     return query
 
 
-def movie_latent_space(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    """id, component, value: U S of the movies' vectors by seconds."""
-    bed = Bed(spark, sf)
-    u, s, _ = linalg.svd(_fv(v.movie_tags(bed.movie_tags(), bed.movie_tags(), bed.movies(), w.time_seconds), "movieid", "tagid"), k)
+def _latent(spark: SparkSession, x: DataFrame, k: int) -> DataFrame:
+    """movieid, component, value: U S."""
+    u, s, _ = linalg.svd(_fv(x, "movieid", "tagid"), k)
     scale = spark.createDataFrame([(c, float(a)) for c, a in enumerate(s)], "component int, s double")
     return u.join(F.broadcast(scale), "component").select(F.col("id").alias("movieid"), "component", F.round(F.col("value") * F.col("s"), 6).alias("value"))
 
 
+def movie_latent_space(spark: SparkSession, sf: str, k: int = 500) -> DataFrame:
+    """U S of the movies' vectors by seconds, of 500 components or as many as there are."""
+    bed = Bed(spark, sf)
+    return _latent(spark, v.movie_tags(bed.movie_tags(), bed.movie_tags(), bed.movies(), w.time_seconds), k)
+
+
+def all_movie_tags_svd(spark: SparkSession, sf: str, k: int = 500) -> DataFrame:
+    """component, singular: the singular values of the vectors of `all_movie_tags_continuous`."""
+    _, s, _ = linalg.svd(_fv(all_movie_tags_continuous(spark, sf), "movieid", "tagid"), k, left=False)
+    return spark.createDataFrame([(c, round(float(a), 6)) for c, a in enumerate(s)], "component int, singular double")
+
+
 _IN_GENRE = f"own AS (SELECT * FROM mltags WHERE movieid IN (SELECT movieid FROM mlmovies WHERE contains(genres, '{GENRE}')))"
 _TOP = "ORDER BY sim DESC, actorid LIMIT 10"
 _X = "SELECT movieid, tagid, round(tfidf, 6) AS tfidf FROM x"
@@ -247,6 +247,7 @@ QUERIES = {
         f"f AS (SELECT movieid, tagid, sum(CASE WHEN lo = hi THEN 0.5::DOUBLE ELSE {p.tsw_c('us', 'lo', 'hi')} END) AS w FROM e GROUP BY 1, 2)",
         "t AS (SELECT movieid, tagid, w / sum(w) OVER (PARTITION BY movieid) AS tf FROM f)", "d AS (SELECT tagid, count(DISTINCT movieid) AS df FROM mltags GROUP BY 1)",
         final="SELECT movieid, tagid, round(tf * ln((SELECT count(*) FROM mlmovies)::DOUBLE / df), 6) AS tfidf FROM t JOIN d USING (tagid)", use=("mltags", "mlmovies"))),
+    "q25_all_movie_tags_svd": (all_movie_tags_svd, None),
     "q36_all_movie_tags": (_all_movies(w.time_days), p.sql(*p.movie_tags("mltags"), final=_X, use=("mltags", "mlmovies"))),
     "q36_all_movie_tags_rounded": (_all_movies(w.time_days, True), p.sql(*p.movie_tags("mltags", rounded=True), final=_X, use=("mltags", "mlmovies"))),
     "q36_all_movie_tags_seconds": (_all_movies(w.time_seconds), p.sql(*p.movie_tags("mltags", p.tsw_s), final=_X, use=("mltags", "mlmovies"))),
