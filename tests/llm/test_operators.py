@@ -208,8 +208,17 @@ def test_top_k_edge_cases(spark):
     cells = df.select(F.col("vec_id").alias("id"), topk_search.quantised(F.col("embedding")).alias("v"))
     assert {tuple(x) for x in topk_search.top_k(cells, F.col("id") % 50 == 0).collect()} == {(0, 1, 50, 256 * 64 - 512), (50, 1, 0, 256 * 64 - 512)}
     assert topk_search.top_k(cells.filter("id < 0"), F.col("id") % 50 == 0).count() == 0
-    again = spark.createDataFrame([(0, [1]), (0, [1]), (2, [3, 9])], "id long, v array<long>")
+    again = spark.createDataFrame([(0, [2]), (0, [1]), (2, [3, 9])], "id long, v array<long>")
     assert [tuple(x) for x in topk_search.top_k(again, F.col("id") % 50 == 0).collect()] == [(0, 1, 2, 3)]
+    for large in (1e30, 1e12):
+        rows = spark.createDataFrame([(0, [large]), (1, [large])], "vec_id long, embedding array<double>").select(F.col("vec_id").alias("id"), topk_search.quantised(F.col("embedding")).alias("v"))
+        with pytest.raises(Exception, match="too large for 64-bit scores"):
+            topk_search.top_k(rows, F.col("id") == 0).collect()
+
+
+def test_strips_that_cannot_enter_get_no_queries():
+    q, high, low = np.array([[2, -1]]), np.array([[5, 5], [1, 9]]), np.array([[-5, -5], [0, 3]])
+    assert topk_search.bounds(q, high, low).tolist() == [[15, -1]]
 
 
 # n-gram join
