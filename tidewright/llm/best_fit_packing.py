@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .runtime import Table, fixed
+from .textcode import give_back
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -65,6 +66,8 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, closin
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            del batch, rows, cols
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(cut, PIECES)
 

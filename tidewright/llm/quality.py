@@ -29,8 +29,8 @@ RATE = 1.0
 SAMPLE = 4000
 N_GRAMS = (3, 4, 5)
 CUTOFF = 0.7
-#: Bytes of text that are scored together.
-CHUNK = 3 << 20
+#: Bytes of text that are scored together; more takes more memory of a worker.
+CHUNK = 1 << 19
 _CONSTANT, _REPEAT = 0, 1
 
 

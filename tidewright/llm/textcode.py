@@ -94,18 +94,26 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Returns what Arrow keeps for reuse to the system: a worker that waits for its next task shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(batches, column: str, limit: int = CHUNK_BYTES):
     """Slices of Arrow batches whose texts hold about `limit` bytes; a longer text is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
-        off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+        off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8).copy()
+        del col
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        del batch
+        give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
