@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import Table, fixed
+from .runtime import Table, fixed, in_small_batches
 from .textcode import give_back
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, closin
             del batch, rows, cols
             give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(cut, PIECES)
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))).mapInArrow(cut, PIECES)
 
 
 _SWEPT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("length", pa.int64()), ("seq", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("units", pa.int64())])

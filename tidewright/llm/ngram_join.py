@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected
-from .runtime import Table, bucket_count, fixed, fresh, hinted
+from .runtime import Table, bucket_count, fixed, fresh, hinted, in_small_batches
 from .textcode import Words, chunks, column, deltas, mix, seeded, undeltas, windows
 
 _BAND = 1.5
@@ -403,7 +403,7 @@ def components(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5
     bound = Bound(similarity.numerator, similarity.denominator)
     buckets = bucket_count(docs)
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = known.mapInArrow(fixed(_dealt, n, bound, buckets), "bucket int, kind int, a binary, b binary, c binary, d binary")
+    sent = in_small_batches(known).mapInArrow(fixed(_dealt, n, bound, buckets), "bucket int, kind int, a binary, b binary, c binary, d binary")
     listed = Table(sent.groupBy("bucket").applyInArrow(_listed, "kind int, name long, n long, node long, sketch binary"), "listed")
     rows = listed.df.filter(F.col("kind") == _DOC).select(F.col("name").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
     lists = Table(_blocked(listed.df.filter(F.col("kind") == _MEMBER).select(F.col("name").alias("list"), "n", "node").distinct(), block), "lists")
@@ -418,7 +418,7 @@ def components(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5
     large = Table(standing.df.groupBy("family").agg(F.count("*").alias("c"), F.sum("size").alias("t")).filter((F.col("c") > family) | (F.col("t") > tokens)).select("family"), "large")
     any_large = large.df.limit(1).count() > 0
     text = known.join(hinted(standing, 24 << 20), F.col("doc_id") == F.col("_id")).select("family", "node", "text")
-    held = text.mapInArrow(fixed(_wanted, n), "family long, node long, n long, tokens binary")
+    held = in_small_batches(text).mapInArrow(fixed(_wanted, n), "family long, node long, n long, tokens binary")
     if any_large:
         held = Table(held, "sets").df
         big = held.join(hinted(large), "family", "left_semi").dropDuplicates(["node"])

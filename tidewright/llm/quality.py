@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import in_small_batches
 from .textcode import Words, chunks, column, seeded
 
 BUCKETS = 1 << 17
@@ -146,7 +147,7 @@ def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
         for chunk in chunks(batches, "text", CHUNK):
             yield pa.RecordBatch.from_arrays([column(chunk, "doc_id"), pa.array(_scores(chunk, shared.value))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: np.ndarray, cutoff: float = 0.5) -> DataFrame:
@@ -157,7 +158,7 @@ def accepted(docs: DataFrame, model: np.ndarray, cutoff: float = 0.5) -> DataFra
         for chunk in chunks(batches, "text", CHUNK):
             yield chunk.filter(pa.array(_scores(chunk, shared.value) >= cutoff))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from ..operators.iterate import work_dir
 
 #: Largest table, in bytes of memory, that an operator may broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Most bytes of an Arrow batch of texts.
+ARROW_BYTES = 6 << 20
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -77,6 +79,16 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's bytes per Arrow batch to `ARROW_BYTES` where they are more: a batch is held by the JVM and by
+    the Python worker at once, and by default takes up to 64 MB on each side. One longer text is still one batch."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
+    return df
+
+
 def fixed(f, *rest):
     """f with all arguments fixed but its first: Spark counts a function's parameters."""
     return lambda first: f(first, *rest)

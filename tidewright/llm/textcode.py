@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -94,9 +96,14 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
 def give_back() -> None:
-    """Returns what Arrow keeps for reuse to the system: a worker that waits for its next task shares its executor's memory."""
+    """Returns what Arrow and the C library keep for reuse to the system: a worker that waits for its next task shares its executor's memory."""
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def chunks(batches, column: str, limit: int = CHUNK_BYTES):
