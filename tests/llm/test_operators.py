@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import best_fit_packing, byte_bpe, components, exact_dedup, ngram_join, pii, quality, queries, sharding, substring_dedup, suffix_dedup, topk_search
-from tidewright.llm.runtime import work_dir
+from tidewright.llm.runtime import ARROW_BYTES, work_dir
 
 from . import brute
 from .conftest import frame
@@ -407,3 +407,18 @@ def test_pii_terms_and_redaction(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert [r.text for r in kept.filter("text is null").collect()] == [None, None]
     assert pii.report(empty).count() == 0 and pii.redacted(empty).count() == 0
+
+
+def test_small_arrow_batches_change_no_score(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        docs = frame(spark, [(i, "word " * (20_000 * (i % 3)) + str(i)) for i in range(60)] + [(99, None)], 1)
+        got = {r.doc_id: r.score for r in quality.scored(docs, np.linspace(-1, 1, 1 << 10)).collect()}
+        assert spark.conf.get(key) == str(ARROW_BYTES)
+        spark.conf.set(key, "1000")  # a smaller limit stays, and a longer text is still scored whole
+        again = {r.doc_id: r.score for r in quality.scored(docs, np.linspace(-1, 1, 1 << 10)).collect()}
+        assert spark.conf.get(key) == "1000" and got == again and len(got) == 61
+    finally:
+        spark.conf.set(key, before)
