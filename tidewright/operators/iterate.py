@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,4 +36,17 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `written` returned, once nothing reads it any more, and lets Spark drop the shuffle files of plans that are gone."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
