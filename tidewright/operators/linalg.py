@@ -199,10 +199,16 @@ def subspace(x: DataFrame, k: int, sweeps: int = 6, centre: bool = True, seed: i
     return written(q, "subspace-q")
 
 
-def directions(x: DataFrame, k: int) -> DataFrame:
-    """f, component, value: leading principal directions, exact for small vocabularies, by subspace iteration for others."""
+def directions(x: DataFrame, k: int, sweeps: int = 6) -> DataFrame:
+    """f, component, value: leading principal directions, exact for small vocabularies, by subspace iteration for others; signs as in `signs`."""
     if x.select("f").distinct().count() <= GRAM_LIMIT:
         return principal_components(x, k)[1]
-    q = subspace(x, k)
-    each = F.array(*[F.struct(F.lit(c).alias("component"), F.col(f"q{c}").alias("value")) for c in range(k)])
-    return q.select("f", F.explode(each).alias("e")).select("f", "e.component", "e.value")
+    return components(subspace(x, k, sweeps), k)
+
+
+def components(q: DataFrame, k: int) -> DataFrame:
+    """f, component, value of the columns q0 .. q(k-1), each turned so that its entry of largest magnitude is positive."""
+    names = [f"q{c}" for c in range(k)]
+    largest = q.agg(*[F.max_by(c, F.struct(F.round(F.abs(c), 9), -F.col("f"))).alias(f"m{c}") for c in names])  # one row
+    each = F.array(*[F.struct(F.lit(i).alias("component"), (F.col(c) * F.when(F.col(f"m{c}") < 0, -1.0).otherwise(1.0)).alias("value")) for i, c in enumerate(names)])
+    return q.crossJoin(F.broadcast(largest)).select("f", F.explode(each).alias("e")).select("f", "e.component", "e.value")
