@@ -256,3 +256,23 @@ def test_gram_blocks_write_their_cells_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Generate" not in plan
     assert {(r.a1, r.a2): r.w for r in found.collect()} == {(a, b): (1.0 + a) * (1.0 + b) * (min(a % 5, b % 5) + 1) for a in range(50) for b in range(a, 50)}
+
+
+def test_bounded_walk_equals_the_joins(spark):
+    rng = np.random.default_rng(3)
+    cells = [(int(i), int(f), float(rng.random())) for i in range(30) for f in rng.choice(9, 4, replace=False)]
+    x = spark.createDataFrame(cells, "id long, f int, v double")
+    rows = x.groupBy("id").agg(F.collect_list("f").alias("j"), F.collect_list("v").alias("u"))
+    start = walks.seeds(spark, [0, 5])
+    for how in (dict(tolerance=None, steps=4), dict(tolerance=1e-4), dict(tolerance=None, steps=3, normalize=False)):
+        want = {r.id: r.p for r in walks.restart_walk(x, start, **how).collect()}
+        got = {r.id: r.p for r in walks.bounded_walk(rows, 9, start, lambda j, u, sizes: u, **how).collect()}
+        assert want.keys() == got.keys() and all(abs(want[i] - got[i]) < 1e-12 for i in want)
+
+
+def test_walk_on_similarity_joins_no_cells_in_its_steps(spark, monkeypatch):
+    from tidewright.plans import registered
+
+    monkeypatch.setattr(walks, "apply_gram", None)
+    for name in ("q23_walk_on_similarity", "q23_walk_to_convergence"):
+        assert registered()[name][0](spark, "/root/testdata/sf0.001").count() == 10
