@@ -291,3 +291,30 @@ def test_top_products_compares_equal_rows_once(spark):
         want += sorted(sims)[:4]
     assert [g[::2] for g in got] == [g[::2] for g in sorted(want)] and np.allclose([g[1] for g in got], [g[1] for g in sorted(want)])
     assert classify._equal_rows(classify._packed_rows(x)).count() == len({tuple(sorted(e.items())) for e in vector.values()})
+
+
+def test_subspace_by_blocks_equals_the_dense_iteration(spark, monkeypatch):
+    from tidewright.operators import panels
+
+    for name, small in (("ROWS", 8), ("CELLS", 16), ("SUMS", 50 * 4 * 8 * 3), ("HELD", 64)):
+        monkeypatch.setattr(panels, name, small)
+    rng = np.random.default_rng(5)
+    m = np.where(rng.random((50, 30)) < 0.2, rng.random((50, 30)), 0) + np.eye(50, 30)
+    m[:, :4] = np.where(rng.random((50, 4)) < 0.5, rng.random((50, 4)), 0) * [810, 270, 90, 30]
+    x = spark.createDataFrame([(i, j, float(m[i, j])) for i, j in zip(*(a.tolist() for a in np.nonzero(m)), strict=True)], "id long, f long, v double")
+    q = linalg.subspace(x, 4, sweeps=4).toPandas().sort_values("f").drop(columns="f").to_numpy()
+    want = np.linalg.svd(m - m.mean(0))[2][:4].T
+    assert q.shape == (30, 4) and np.allclose(np.abs(q.T @ want), np.eye(4), atol=1e-3)
+
+
+def test_recommenders_by_columns_equal_cosines(spark, monkeypatch):
+    from tidewright.plans import recommend
+    from tidewright.sources.readers import Bed
+
+    bed = Bed(spark, "/root/testdata/sf0.001")
+    rng = np.random.default_rng(6)
+    ids = [r[0] for r in bed.movies().select("movieid").collect()]
+    q = spark.createDataFrame([(i, *map(float, rng.normal(size=3))) for i in ids], "f long, q0 double, q1 double, q2 double")
+    long = q.select("f", F.posexplode(F.array("q0", "q1", "q2")).alias("component", "value"))
+    want, got = (f.collect() for f in (recommend._by_factors(bed, long, recommend.USER), recommend._by_columns(bed, q, 3, recommend.USER)))
+    assert want == got and len(got) == 5

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import panels
 from .iterate import written
 from .relational import top_by
 
@@ -142,61 +143,12 @@ def cosine_to_all(x: DataFrame, ids: DataFrame) -> DataFrame:
     return s.filter(both > 0).select("watched", "id", (F.col("dot") / F.when(both > 0, both)).alias("cosine"))
 
 
-def _gram_of_columns(z: DataFrame, columns: list[str]) -> np.ndarray:
-    """The k x k products of k columns: each partition adds up its own, and these are added by position."""
-    k = len(columns)
-
-    def part(frames):
-        import pandas as pd
-
-        total = np.zeros((k, k))
-        for frame in frames:
-            m = frame.to_numpy(float)
-            total += m.T @ m
-        yield pd.DataFrame({"g": [total.ravel()]})
-
-    out = np.zeros(k * k)
-    for at, value in z.select(*columns).mapInPandas(part, "g array<double>").select(F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g")).collect():
-        out[at] = value
-    return out.reshape(k, k)
-
-
-def _turned(z: DataFrame, turn: np.ndarray, names: list[str]) -> DataFrame:
-    """f and the rows of z times a k x k matrix."""
-
-    def part(frames):
-        import pandas as pd
-
-        for frame in frames:
-            yield pd.concat([frame[["f"]], pd.DataFrame(frame.drop(columns="f").to_numpy(float) @ turn, columns=names, index=frame.index)], axis=1)
-
-    return z.select("f", *[f"z{c}" for c in names]).mapInPandas(part, f"f {z.schema['f'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in names))
-
-
 def subspace(x: DataFrame, k: int, sweeps: int = 6, centre: bool = True, seed: int = 0) -> DataFrame:
     """f, q0 .. q(k-1): the k leading principal directions (or right singular vectors) by subspace iteration.
 
-    Each sweep applies X'X (less n m m' with the features' means m) to k vectors at once by two joins; they are made
+    Each sweep applies X'X (less n m m' with the features' means m) to k vectors by blocks; they are made
     orthonormal through their k x k Gram matrix, so nothing of the features' size reaches the driver."""
-    x = written(x.select("id", "f", F.col("v").cast("double").alias("v")), "subspace")
-    n = x.select("id").distinct().count()
-    names = [f"q{c}" for c in range(k)]
-    means = written(x.groupBy("f").agg((F.sum("v") / n).alias("m")), "means")
-    q = means.select("f", *[((F.pmod(F.xxhash64("f", F.lit(c), F.lit(seed)), F.lit(2_000_003)) - 1_000_001) / 1_000_001).alias(c) for c in names])
-    for _ in range(sweeps):
-        y = x.join(q, "f").groupBy("id").agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in names])
-        z = x.join(y, "id").groupBy("f").agg(*[F.sum(F.col("v") * F.col(c)).alias(f"z{c}") for c in names])
-        if centre:
-            dots = means.join(q, "f").agg(*[F.sum(F.col("m") * F.col(c)).alias(f"d{c}") for c in names])
-            z = z.join(means, "f").crossJoin(F.broadcast(dots)).select("f", *[(F.col(f"z{c}") - n * F.col("m") * F.col(f"d{c}")).alias(f"z{c}") for c in names])
-        z = written(z, "subspace-z")
-        g = _gram_of_columns(z, [f"z{c}" for c in names])
-        values, vectors = np.linalg.eigh(g)
-        order = np.argsort(-values)
-        values, vectors = values[order], vectors[:, order]
-        turn = vectors / np.sqrt(np.maximum(values, 1e-12 * max(values.max(), 1e-300)))
-        q = _turned(z, turn, names)
-    return written(q, "subspace-q")
+    return panels.subspace(x, k, sweeps, centre, seed)
 
 
 def directions(x: DataFrame, k: int, sweeps: int = 6) -> DataFrame:
