@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
@@ -114,3 +115,38 @@ def test_suffix_dedup_of_pairs_hidden_by_decoys(spark):
     got = suffix_dedup.deduplicated(frame(spark, rows, 5), 50).collect()
     assert {(x.doc_id, x.n_words, x.n_removed, brute.sha(x.kept_text)) for x in got} == brute.windows(rows, 50)
     assert {x.doc_id: x.n_repeated for x in got} == brute.repeated(rows, 50)
+
+
+def test_substring_levels_send_documents_in_few_bytes():
+    """op3's disk: many buckets get one or two windows of a document each, and had eight bytes for its order with them."""
+    for ids in ([], [5], [-(1 << 63), -3, -3, 0, 70000, (1 << 63) - 1], range(0, 900, 3)):
+        assert len(ids) == 0 or substring_dedup._ungaps(substring_dedup._gaps(np.array(ids, np.int64))).tolist() == list(ids)
+    texts = [" ".join(f"w{d}_{i}" for i in range(300)) for d in range(40)]
+    chunk = pa.table({"doc_id": pa.array([(7 * d) % 40 for d in range(40)]), "h": pa.array(range(40)), "text": texts}).to_batches()[0]
+    (sent,) = substring_dedup._level([chunk], 7, None, False, 500)
+    entries = sent.filter(pa.compute.equal(sent.column("kind"), substring_dedup._ENTRIES))
+    assert sum(len(x.as_py() or b"") for c in "abcd" for x in entries.column(c)) < 12 * 40 * 294
+
+
+def test_shuffle_files_are_released_at_once(spark):
+    """op3's disk: the exchange of a level is gone before the next one is written."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidewright.operators.iterate import released, written
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    for _ in range(3):
+        released(spark)
+        time.sleep(1.5)
+    before = held()
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    table = written(df, "released")
+    assert held() > before and table.count() == 10
+    del df
+    released(spark)
+    until = time.time() + 2
+    while held() > before and time.time() < until:
+        time.sleep(0.1)
+    assert held() <= before

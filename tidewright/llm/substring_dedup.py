@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.iterate import released
 from .runtime import Table, bucket_count, fixed, hinted
 from .textcode import Words, chunks, column, deltas, mix, seeded, undeltas, windows
 
@@ -54,9 +55,25 @@ def _rows(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBa
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), *[(x, pa.binary()) for x in "abcd"]])
 
 
+def _gaps(ids: np.ndarray) -> bytes:
+    """Rising 64-bit integers as the first one and steps of as few bytes as the largest one takes."""
+    steps = np.diff(ids.view(np.uint64))
+    width = next(w for w in (1, 2, 4, 8) if int(steps.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + ids[:1].astype("<i8").tobytes() + steps.astype(f"<u{width}").tobytes()
+
+
+def _ungaps(b: bytes) -> np.ndarray:
+    steps = np.frombuffer(b, f"<u{b[0]}", offset=9).astype(np.uint64)
+    return np.cumsum(np.r_[np.frombuffer(b, "<u8", 1, 1), steps], dtype=np.uint64).view(np.int64)
+
+
 def _level(batches, size: int, before: int | None, last: bool, buckets: int, select=None, both: bool = False):
     """One level's rows of a partition. `select` (windows, which lie in one text) may retain some windows only. With `both` the last level also tells which windows another document has."""
     for chunk in chunks(batches, "text"):
+        ids = column(chunk, "doc_id").fill_null(_LAST).to_numpy()
+        if (ids[1:] < ids[:-1]).any():  # rising ids take few bytes
+            rising = np.argsort(ids, kind="stable")
+            chunk, ids = chunk.take(pa.array(rising)), ids[rising]
         w = Words(column(chunk, "text"))
         first = w.first
         win = windows(w.hashes(), size)
@@ -74,7 +91,6 @@ def _level(batches, size: int, before: int | None, last: bool, buckets: int, sel
         at = np.flatnonzero(on)
         if not len(at):
             continue
-        ids = column(chunk, "doc_id").fill_null(_LAST).to_numpy()
         texts = column(chunk, "h").to_numpy()
         h, order = win[at], ids[doc[at]]
         by = np.argsort(h, kind="stable")
@@ -100,7 +116,7 @@ def _level(batches, size: int, before: int | None, last: bool, buckets: int, sel
             docs_, place = np.unique(doc[at[own]], return_inverse=True)
             bits = h[own].astype("<u8") if last else (h[own] >> np.uint64(32)).astype("<u4")
             # a document's number in the chunk follows from the position, so only the documents' order values are sent
-            rows.append((int(b), name, _ENTRIES, bits.tobytes(), deltas(at[own]), ids[docs_].astype("<i8").tobytes(), deltas(place) + np.packbits(several[own]).tobytes()))
+            rows.append((int(b), name, _ENTRIES, bits.tobytes(), deltas(at[own]), _gaps(ids[docs_]), deltas(place) + np.packbits(several[own]).tobytes()))
         yield _rows(rows, _SENT_ARROW.names, _SENT_ARROW)
 
 
@@ -113,7 +129,7 @@ def _answers(table: pa.Table, last: bool, both: bool = False) -> pa.Table:
         bits.append(np.frombuffer(a, "<u8" if last else "<u4"))
         at.append(undeltas(b))
         place = undeltas(d)
-        order.append(np.frombuffer(c, "<i8")[place])
+        order.append(_ungaps(c)[place])
         several.append(np.unpackbits(np.frombuffer(d[-(-(-len(place) // 8)) :], np.uint8), count=len(place)).view(bool))
     rows: list[tuple] = []
     if names:
@@ -178,6 +194,8 @@ def repeated_windows(docs: DataFrame, size: int = 13, broadcast_bytes: int | Non
         if found is not None:
             found.drop()
         found, before = table, n
+        del source, sent, answered, maps
+        released(docs.sparkSession)  # a level's exchange needn't stay for the next one's
     return found
 
 

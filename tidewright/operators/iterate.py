@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,4 +56,17 @@ def discard(*tables: DataFrame) -> None:
 def released(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing holds any more."""
     gc.collect()
-    spark._jvm.System.gc()
+    dropped = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)  # what the JVM still holds for Python, until a thread that mostly sleeps tells it
+    while dropped:
+        try:
+            client, name = dropped.pop()
+        except (IndexError, TypeError, ValueError):  # the thread took the last one, or the session ends
+            break
+        client.garbage_collect_object(name, False)
+    for pause in (0.2, 0):  # what a first collection finds unused can hold plans until the next one
+        try:
+            spark._jsc.sc().listenerBus().waitUntilEmpty(5000)  # listeners of a query that just ended hold its plan
+        except Py4JError:
+            pass
+        spark._jvm.System.gc()
+        time.sleep(pause)
