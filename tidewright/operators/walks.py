@@ -130,7 +130,11 @@ def bounded_walk(
         last = int(small[0]) + 1 if len(small) else steps
     if not last:
         return rows.select("id", F.col("p0").alias("p"))
-    final = (1 - restart) * y[last - 1]
+    return _placed(rows, (1 - restart) * y[last - 1], weigh, restart)
+
+
+def _placed(rows: DataFrame, final: np.ndarray, weigh: Callable, restart: float) -> DataFrame:
+    """id, p = X final + restart p0."""
 
     def places(batches):
         import pyarrow as pa
@@ -143,6 +147,26 @@ def bounded_walk(
     return rows.mapInArrow(places, "id long, p double")
 
 
+def bounded_covariance_walk(rows: DataFrame, n: int, start: DataFrame, restart: float = 0.85, steps: int = 20) -> DataFrame:
+    """`covariance_walk` for n features, two at least, that the driver can hold the square of. rows: id, j (array of features from 0, none twice), u (array of values).
+
+    With y = X' p the means' product m . p is sum(y) / n, so a step gives X z + restart p0 with z = (1 - restart) (y - sum(y) / n) / (n - 1),
+    and the next y needs only X' X: the rows are read to make it and for the last p."""
+    rows = rows.join(F.broadcast(start), "id", "left").select("id", "j", "u", F.coalesce("p0", F.lit(0.0)).alias("p0"))
+
+    def products(ids, j, u, sizes, p0):
+        x = _dense(j, u, sizes, n)
+        return x.T @ np.column_stack([x, p0])
+
+    both = _summed(rows, (n, n + 1), products)
+    h, b = both[:, :n], both[:, n]
+    y, z = b, np.zeros(n)
+    for _ in range(steps):
+        z = (1 - restart) * (y - y.sum() / n) / (n - 1)
+        y = h @ z + restart * b
+    return _placed(rows, z, lambda j, u, sizes: u, restart if steps else 1.0)
+
+
 def covariance_walk(x: DataFrame, features: DataFrame, start: DataFrame, restart: float = 0.85, steps: int = 20) -> DataFrame:
     """The same on the covariance between entities, applied as (X X' p - T m (m . p)) / (T - 1), with m the row means over the T features; no scaling, a fixed number of steps."""
     x = written(x.select("id", "f", F.col("v").cast("double").alias("v")), "walk-x")
