@@ -70,3 +70,9 @@ def released(spark: SparkSession) -> None:
             pass
         spark._jvm.System.gc()
         time.sleep(pause)
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 6 MB from now on: a row may hold two blocks."""
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= 6 << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(6 << 20))
